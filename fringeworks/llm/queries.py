@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, quality, substring
 from ._text import table
 
 
@@ -34,8 +34,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).mapInArrow(digest, ", ".join(f"{n} long" for n in names))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the cross-document line-frequency verdict."""
+    out = quality.quality(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of 50-word windows that a document with a smaller id holds too."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return substring.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality": op3_quality,
+    "op4_substring": op4_substring,
 }
 
 #: DuckDB SQL for those queries that SQL can express on whole tables.

@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import regex
 from ._text import _SPACE, ragged
 
 #: Distinct units remembered by a Python worker before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def tokenizer_path(path: str) -> str:
@@ -78,7 +79,8 @@ class UnitEncoder:
         splits = [x["pattern"]["Regex"] for x in (spec["pre_tokenizer"].get("pretokenizers") or []) if x["type"] == "Split"]
         self.split = regex.compile(splits[0] if splits else _BYTE_LEVEL).findall
         self.lower = "Lowercase" in str(spec.get("normalizer"))
-        self.letters = {i: c for i, c in byte_letters().items()}
+        self.letters = byte_letters()
+        self.ranked = self._ranked(spec["model"])
         self.remembered = remembered
         self._forget()
 
@@ -89,10 +91,23 @@ class UnitEncoder:
         self.ends = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _ranked(self, model: dict):
+        """The same byte-level vocabulary for ``tiktoken``, if its ids follow the order of its merges; its BPE is the faster one."""
+        bytes_of = {c: b for b, c in self.letters.items()}
+        merged = ["".join(x if isinstance(x, list) else x.split(" ")) for x in model["merges"]]
+        if model.get("end_of_word_suffix") or [model["vocab"].get(x) for x in merged] != list(range(256, 256 + len(merged))):
+            return None
+        import tiktoken
+
+        ranks = {bytes(map(bytes_of.__getitem__, x)): i for x, i in model["vocab"].items() if i < 256 + len(merged)}
+        return tiktoken.Encoding("units", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _ids(self, unit: str) -> list[int]:
         """Ids of one unit: of its pre-tokens one after the other."""
-        if "<|" in unit or not _PLAIN.fullmatch(unit):
+        if "<|" in unit or not (unit.isascii() and unit.isprintable()) and not _PLAIN.fullmatch(unit):
             return self.tokenizer.encode(unit, add_special_tokens=False).ids
+        if self.ranked:
+            return self.ranked(unit)
         out: list[int] = []
         for part in self.split(unit.lower() if self.lower else unit):
             ids = self.parts.get(part)
@@ -111,7 +126,7 @@ class UnitEncoder:
             if on:
                 gc.enable()
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
         k = len(self.known)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])

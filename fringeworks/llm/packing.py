@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._text import list_of, ragged, slices, table
+from ._text import binary_of, list_of, ragged, slices, table
 from ._units import encoder
 
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1
 
 _TOKENS = "part int, within long, doc_id long, ids array<int>"
-_PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+_PIECES = "doc_id long, start long, length long, ids {}, doc_tokens long, sequence_id long, offset long"
 
 
 def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_OF_DOCUMENT) -> DataFrame:
@@ -48,23 +48,24 @@ def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_OF_DOCUMENT) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_OF_DOCUMENT, ids_as: str = "array<int>") -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all documents.
 
     docs: doc_id, text; other columns are ignored.  A null or empty text is the
-    end token alone.  Repeated rows are packed as often as they occur.  An empty
+    end token alone.  ids is an array of int or, with ids_as="binary", the ids as
+    little-endian unsigned 32-bit integers.  Repeated rows are packed as often as they occur.  An empty
     table gives no pieces.  Sequences are full but for the last one.
     """
     tokens = stored(tokenized(docs, tokenizer, end_id), "tokens")
     totals = tokens.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n"))
     # one row for each partition of the tokens table
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary() if ids_as == "binary" else pa.list_(pa.int32())), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
                 ids = batch.column(1).combine_chunks() if isinstance(batch.column(1), pa.ChunkedArray) else batch.column(1)
                 flat, offs = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy().astype(np.int64))])
                 begin = batch.column(2).to_numpy()
@@ -75,7 +76,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence_tokens:
                 seq = ragged(first, pieces)
                 lo = np.maximum(begin[row], seq * sequence_tokens)
                 hi = np.minimum(begin[row] + size[row], (seq + 1) * sequence_tokens)
-                yield table(schema, [batch.column(0).to_numpy()[row], lo - begin[row], hi - lo, list_of(flat, np.concatenate([[0], np.cumsum(hi - lo)]), pa.int32()), size[row], seq, lo - seq * sequence_tokens])
+                bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(hi - lo)])
+                cells = binary_of(np.ascontiguousarray(flat, "<i4").view(np.uint8), bounds * 4) if ids_as == "binary" else list_of(flat, bounds, pa.int32())
+                yield table(schema, [batch.column(0).to_numpy(zero_copy_only=False)[row], lo - begin[row], hi - lo, cells, size[row], seq, lo - seq * sequence_tokens])
 
     placed = tokens.join(F.broadcast(before), "part").select("doc_id", "ids", (F.col("before") + F.col("within")).alias("begin"))
-    return placed.mapInArrow(cut, _PIECES)
+    return placed.mapInArrow(cut, _PIECES.format(ids_as))

@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packing, quality, substring
-from ._text import table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; texts differ much in length, so batches for Python workers are bounded in bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concatenate-and-cut packing of all documents; each piece's ids as a CRC-32."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = pa.schema([(n, pa.int64()) for n in names])
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(3)
-            flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4").tobytes()
-            ends = np.cumsum(ids.value_lengths().to_numpy().astype(np.int64)) * 4
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            yield table(schema, [*(batch.column(i) for i in range(3)), crc, *(batch.column(i) for i in range(4, 7))])
-
-    return packing.pack(read(spark, sf_dir, "documents")).mapInArrow(digest, ", ".join(f"{n} long" for n in names))
+    pieces = packing.pack(read(spark, sf_dir, "documents"), ids_as="binary")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

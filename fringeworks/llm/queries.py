@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, quality, substring, suffix, warc
+from . import chat, hamming, langid, minhash, packing, quality, substring, suffix, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,17 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in the order of replies, without quotes."""
+    return chat.reply_ordered(read(spark, sf_dir, "conversations"))
+
+
+def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every hundredth vector."""
+    rows = read(spark, sf_dir, "embeddings")
+    return hamming.top_k(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as seekable WARC bundles and read back from them."""
     _, records, _ = warc.archive(read(spark, sf_dir, "pages"))
@@ -61,10 +72,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
     "op4_substring": op4_substring,
+    "op6_chat": op6_chat,
+    "op7_hamming": op7_hamming,
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_suffix": op10_suffix,
 }
 
 #: DuckDB SQL for those queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_hamming": """
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
+                SELECT q.vec_id AS query_id, e.vec_id,
+                       len(list_filter(range(1, 65), lambda i: (q.embedding[i] > 0) <> (e.embedding[i] > 0))) AS distance
+                FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0))
+        WHERE rank <= 10""",
+}

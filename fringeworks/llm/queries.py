@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hamming, langid, minhash, packing, quality, substring, suffix, warc
+from . import bpe, chat, hamming, langid, minhash, packing, quality, substring, suffix, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding of all documents and decoding of their ids, as digests."""
+    coded = bpe.round_trip(read(spark, sf_dir, "documents"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in the order of replies, without quotes."""
     return chat.reply_ordered(read(spark, sf_dir, "conversations"))
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
     "op4_substring": op4_substring,
+    "op5_bpe": op5_bpe,
     "op6_chat": op6_chat,
     "op7_hamming": op7_hamming,
     "op8_warc": op8_warc,

@@ -1,36 +1,7 @@
-"""Folders shared by the driver and the executors, for tables that cut lineage."""
+"""Folders and tables shared by the driver and the executors."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..plans.tables import new_folder, shared_folder, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and Spark runs in this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="fringeworks-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean_documents(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the caller clash with none of an operator's."""
-    return docs.select(*columns)
+__all__ = ["new_folder", "shared_folder", "stored"]

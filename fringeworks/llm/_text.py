@@ -145,12 +145,16 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(at: np.ndarray, width: int, size: int) -> np.ndarray:
-    """Mask of the values covered by windows of ``width`` that start at ``at``."""
-    change = np.zeros(size + 1, np.int32)
-    np.add.at(change, at, 1)
-    np.add.at(change, np.minimum(at + width, size), -1)
-    return np.cumsum(change[:-1]) > 0
+def slide(x: np.ndarray, width: int, pick: np.ufunc, fill: np.uint64) -> np.ndarray:
+    """pick over x[i : i + width] for every i (shorter at the end)."""
+    n = len(x)
+    rows = -(-n // width) + 1
+    padded = np.full(rows * width, fill, U64)
+    padded[:n] = x
+    blocks = padded.reshape(rows, width)
+    ahead = pick.accumulate(blocks, axis=1).ravel()
+    back = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(back[:n], ahead[width - 1 : width - 1 + n])
 
 
 def runs(mask: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

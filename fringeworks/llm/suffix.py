@@ -6,7 +6,9 @@ place, so only suffixes that begin at anchors of equal grams are compared, about
 one in 185 for strings of 400 bytes.
 
 Anchors with equal surroundings form a class, counted in Spark by hashes alone.
-Where one gram has several classes, one surrounding of each goes to a task that
+Of a window around an anchor half its bytes at least stand before the anchor or
+from it on, so a class matters to others only if they share that half; of those
+classes one surrounding each goes to a task that
 sorts the suffixes to the right and those to the left of the anchors: merge sort,
 where two suffixes are compared by their common extension, found by binary
 search over hashes of prefixes.  Common extensions of neighbours are verified
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._text import U64, _BYTE, binary_of, byte_prefix, list_of, mix, powers, prefix_hash, ragged, runs, slices, span_hash, table
+from ._text import U64, _BYTE, binary_of, byte_prefix, list_of, mix, powers, prefix_hash, ragged, runs, slices, slide, span_hash, table
 
 WIDTH = 400
 GRAM = 32
@@ -34,18 +36,6 @@ BUCKETS = 8
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def _slide(x: np.ndarray, width: int, pick: np.ufunc, fill: np.uint64) -> np.ndarray:
-    """pick over x[i : i + width] for every i (shorter at the end)."""
-    n = len(x)
-    rows = -(-n // width) + 1
-    padded = np.full(rows * width, fill, U64)
-    padded[:n] = x
-    blocks = padded.reshape(rows, width)
-    ahead = pick.accumulate(blocks, axis=1).ravel()
-    back = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return pick(back[:n], ahead[width - 1 : width - 1 + n])
-
-
 def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the anchors, hashes of their grams, and prefix hashes of the data."""
     prefix = byte_prefix(data)
@@ -58,10 +48,10 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int =
     hashes = mix(span_hash(prefix, at, at + gram)) >> U64(1)
     end = np.repeat(offs[1:], np.diff(offs))  # of each position's text
     hashes[at + gram > end[at]] = _TOP
-    least = _slide(hashes, reach, np.minimum, _TOP)
+    least = slide(hashes, reach, np.minimum, _TOP)
     least[at + width > end[at]] = 0  # no window of the text begins here
     # a gram is an anchor if it is the least one of a window, all of which begin within reach before it
-    best = _slide(least[::-1], reach, np.maximum, U64(0))[::-1]
+    best = slide(least[::-1], reach, np.maximum, U64(0))[::-1]
     pos = np.flatnonzero((best == hashes) & (hashes != _TOP) & (best > 0))
     return pos, hashes[pos], prefix
 
@@ -221,27 +211,37 @@ def _repeated_offsets(s: Suffixes, rows: np.ndarray, width: int) -> tuple[np.nda
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Rows (doc_id, start, end), in bytes: repeated strings of ``width`` bytes and more, overlapping each other."""
     spark = docs.sparkSession
-    found = pa.schema([("doc_id", pa.int64()), ("anchors", pa.list_(pa.struct([("pos", pa.int32()), ("gram", pa.int64()), ("around", pa.int64()), ("lo", pa.int16()), ("hi", pa.int16())])))])
+    found = pa.schema([("doc_id", pa.int64()), ("anchors", pa.list_(pa.struct([("pos", pa.int32()), ("gram", pa.int64()), ("around", pa.int64()), ("lo", pa.int16()), ("hi", pa.int16()), ("ahead", pa.int64()), ("behind", pa.int64())])))])
+    half = (width + 1) // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
             pos, grams, prefix = anchors(data, offs, width, gram)
             lo, hi = surroundings(pos, offs, width, gram) if len(pos) else (pos, pos)
             around = mix(mix(span_hash(prefix, pos - lo, pos + hi) + lo.astype(U64)) + hi.astype(U64))
+            # the half of a window from the anchor on, and the half before it with the gram; null where the text has less
+            ahead = pa.array(mix(span_hash(prefix, pos, np.minimum(pos + half, len(data)))).view(np.int64), mask=hi < half)
+            behind = pa.array(mix(span_hash(prefix, np.maximum(pos - half, 0), pos + (gram if len(pos) else 0))).view(np.int64), mask=lo < half)
             first = np.searchsorted(pos, offs)
-            cells = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip([pos - offs[np.searchsorted(offs, pos, "right") - 1], grams.view(np.int64), around.view(np.int64), lo, hi], found.field(1).type.value_type, strict=True)], fields=list(found.field(1).type.value_type))
+            cells = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip([pos - offs[np.searchsorted(offs, pos, "right") - 1], grams.view(np.int64), around.view(np.int64), lo, hi, ahead, behind], found.field(1).type.value_type, strict=True)], fields=list(found.field(1).type.value_type))
             full = np.flatnonzero(np.diff(first))
             yield table(found, [batch.column(0).take(pa.array(full)), pa.ListArray.from_arrays(pa.array(np.append(first[full], len(pos)).astype(np.int32)), cells)])
 
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    kind = "doc_id long, anchors array<struct<pos:int,gram:long,around:long,lo:short,hi:short>>"
+    kind = "doc_id long, anchors array<struct<pos:int,gram:long,around:long,lo:short,hi:short,ahead:long,behind:long>>"
     light = stored(plain.filter("doc_id is not null").mapInArrow(find, kind), "anchors").select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.*")
-    sized = light.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("one"))
+    sized = light.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("one"), F.min("ahead").alias("ahead"), F.min("behind").alias("behind"))
     grams = sized.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("classes")).filter("all > 1")
-    classes = stored(sized.join(grams.select("gram", "classes"), "gram").select("gram", "around", "n", "classes", "one.*"), "classes")
-
-    # one surrounding of each class of the grams that have several
-    wanted = classes.filter("classes > 1").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram", "around", "n", "classes")).alias("wanted"))
+    classes = stored(sized.join(grams.select("gram", "classes"), "gram").select("gram", "around", "n", "classes", "one.*", "ahead", "behind"), "classes")
+    # classes that share half a window with another class
+    multiple = classes.filter("classes > 1")
+    shared = lambda half: multiple.groupBy(half).count().filter(F.col(half).isNotNull() & (F.col("count") > 1)).select(half, F.lit(True).alias(f"{half}_shared"))
+    sharing = multiple.join(shared("ahead"), "ahead", "left").join(shared("behind"), "behind", "left").filter("ahead_shared or behind_shared").select("gram", "around", "n", "doc_id", "pos")
+    again = sharing.groupBy("gram").agg(F.count("*").alias("classes")).filter("classes > 1")
+    compared = stored(sharing.join(again, "gram"), "compared")
+
+    # one surrounding of each
+    wanted = compared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram", "around", "n", "classes")).alias("wanted"))
     shown = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("several", pa.bool_()), ("classes", pa.int64()), ("lo", pa.int32()), ("bytes", pa.binary())])
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +282,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     sortable = contexts.filter(F.col("classes") <= SORTED_CLASSES).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
     sorted_ = sortable.groupBy("bucket").applyInArrow(sort, result)
     hot = _hot_extents(contexts.filter(F.col("classes") > SORTED_CLASSES), width, buckets)
-    # a gram of one class: its anchors share all that windows can hold
-    alone = classes.filter("classes = 1").select("gram", "around", F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("after"))
-    extent = alone.union(sorted_).union(hot)
+    # anchors of one class share all that windows around them can hold
+    alone = classes.filter("n > 1").select("gram", "around", F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("after"))
+    extent = alone.union(sorted_).union(hot)  # a class of several anchors can be in two of these
     spans = light.join(extent, ["gram", "around"])
     return spans.select("doc_id", (F.col("pos") - F.coalesce("before", "lo")).alias("start"), (F.col("pos") + F.coalesce("after", "hi")).alias("end"))
 

@@ -7,8 +7,11 @@ are candidates, and every candidate is confirmed on the full shingle sets.
 
 Documents with equal sets are one member.  Within a bucket members are compared
 with a few hubs at a time, and only while the bucket spans more than one
-component: a group of copies costs one comparison for each member, and still
-every pair that ends in different components has been compared.
+component: a group of copies costs one comparison for each member.  A pair that
+ends in different components has either been compared or been excluded by a
+bound: two sets x, y of which a hub h shares i(x), i(y) members, and which hold
+s(x), s(y) more that any other candidate holds too, share at most
+min(i(x), i(y)) + min(s(x), s(y)).
 """
 
 from __future__ import annotations
@@ -96,8 +99,8 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS, bands: int = BANDS,
 
 
 def confirmed(pairs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b, text_a, text_b.  Rows (a, b, linked): 100 * intersection >= percent * union of the full sets."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    """pairs: a, b, text_a, text_b.  Rows (a, b, both, linked): intersection of the full sets; 100 * it >= percent * union."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches, "text_b"):
@@ -112,9 +115,46 @@ def confirmed(pairs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCE
             order = np.argsort(mix(grams + pair.astype(U64) * _SALT), kind="stable")
             same = (grams[order][1:] == grams[order][:-1]) & (pair[order][1:] == pair[order][:-1])
             both = np.bincount(pair[order][1:][same], minlength=len(of))
-            yield table(schema, [batch.column(0), batch.column(1), 100 * both >= percent * (na + nb - both)])
+            yield table(schema, [batch.column(0), batch.column(1), both, 100 * both >= percent * (na + nb - both)])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, linked boolean")
+
+
+def own_shingles(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, own): shingles of a document that no other of ``docs`` holds."""
+    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in slices(batches):
+            grams, first = shingles(data, offs, width)
+            yield table(schema, [batch.column(0), list_of(grams.view(np.int64), first, pa.int64())])
+
+    each = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>").select("doc_id", F.explode("grams").alias("gram"))
+    single = each.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
+    return single.groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
+def undecided(members: DataFrame, looked: DataFrame, labels: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """Members that may still link with another one of their bucket, ranked anew, with their bounds.
+
+    members: bucket, doc_id, n, members, rank, all but the first compared with
+    it.  Adds i (shared with the first; null if their sizes differ too much to
+    have been compared) and s (shared with others, but not with the first).
+    """
+    rest = members.filter("members > 2 and rank > 1").select("bucket", "doc_id", "n").join(labels, "doc_id")
+    several = rest.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min("n").alias("least")).filter("p < q").select("bucket", "least")
+    heads = members.filter("rank = 1").select("bucket", F.col("doc_id").alias("a"))
+    rest = stored(rest.join(several, "bucket").join(heads, "bucket"), "undecided")
+    own = own_shingles(held.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), width)
+    rest = rest.join(looked.select("a", F.col("b").alias("doc_id"), F.col("both").alias("i")), ["a", "doc_id"], "left").join(own, "doc_id", "left")
+    rest = rest.withColumn("s", F.col("n") - F.col("i") - F.coalesce("own", F.lit(0)))
+    # with the smallest set of the bucket that its size admits, at best
+    most = F.col("i") + F.col("s")
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    possible = F.coalesce(100 * most >= percent * (F.col("n") + other - most), F.lit(True))
+    left = rest.filter(possible).select("bucket", "doc_id", "n", "i", "s")
+    again = left.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    return stored(left.join(again, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))), "members")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -160,16 +200,22 @@ def components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCE
     members = stored(ranked, "members")
     labels = stored(members.select("doc_id").distinct().withColumn("label", F.col("doc_id")), "labels")
     held = stored(plain.join(labels, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    largest = members.agg(F.max("members")).first()[0] or 0
+    members = members.withColumns({"i": F.lit(None).cast("long"), "s": F.lit(None).cast("long")})
     done: DataFrame | None = None
-    low = 1
-    while low < largest:  # ranks low .. 2 * low - 1 are the hubs of this round
+    low, bounds = 1, True
+    while True:  # members of rank low .. 2 * low - 1 are the hubs of this round
         now = members.filter(F.col("members") > low).join(labels, "doc_id")
         open_ = now.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("bucket")
-        now = now.join(open_, "bucket", "left_semi")
-        hubs = now.filter(F.col("rank").between(low, 2 * low - 1)).select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra"))
+        now = stored(now.join(open_, "bucket", "left_semi"), "open")
+        if not now.take(1):
+            break
+        hubs = now.filter(F.col("rank").between(low, 2 * low - 1)).select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra"), F.col("i").alias("ia"), F.col("s").alias("sa"))
         near = (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent) & (F.col("label") != F.col("la")) & (F.col("rank") > F.col("ra"))
-        pairs = hubs.join(now, "bucket").filter(near).select("a", F.col("doc_id").alias("b")).distinct()
+        most = F.least("i", "ia") + F.least("s", "sa")
+        known = F.col("i").isNotNull() & F.col("ia").isNotNull()
+        possible = ~known | (100 * most >= percent * (F.col("n") + F.col("na") - most))
+        met = hubs.withColumnRenamed("bucket", "of").join(now, (F.col("of") == F.col("bucket")) & near & possible)
+        pairs = met.select("a", F.col("doc_id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -178,7 +224,10 @@ def components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCE
         if links.take(1):
             labels = merged(labels, links)
         done = looked.select("a", "b") if done is None else done.union(looked.select("a", "b"))
-        low *= 2
+        if bounds:  # after the first hubs the members begin anew, without them
+            members, bounds = undecided(members, looked, labels, held, width, percent), False
+        else:
+            low *= 2
     named = first.join(labels, "doc_id", "left").select(*sets, F.coalesce("label", "doc_id").alias("component"))
     out = signed.join(named, sets, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -1,9 +1,11 @@
 """Substring de-duplication: Rabin-Karp hashes of every window of words.
 
 Every window of ``width`` consecutive words is hashed.  The hashes go, packed by
-the thousand, to the bucket that their low bits name; a bucket finds for each
-hash the smallest document that holds it, and every other document's window is
-repeated.  Repeated windows merge into maximal removal intervals.
+the thousand, to the bucket that the smallest hash of a short word sequence
+within the window names, so neighbouring windows mostly share a bucket.  A bucket
+finds for each window hash the smallest document that holds it, and every other
+document's window is repeated.  Repeated windows merge into maximal removal
+intervals.
 
 Within a task's block of documents a window that a smaller document of the
 block holds is settled on the spot, so a passage of a third of all documents
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import binary_of, list_of, ragged, runs, slices, table, window_hashes, word_hashes, words
+from ._text import _WORD_BASE, U64, binary_of, list_of, mix, prefix_hash, ragged, runs, slices, slide, span_hash, table, window_hashes, word_hashes, words
 
 WIDTH = 50
 #: Slices of text that form a block.
 BLOCK_SLICES = 4
 #: Buckets for each shuffle partition.
 BUCKETS = 8
+#: Words of the sequences of which a window's smallest names its bucket.
+GRAM_WORDS = 5
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary()), ("hashes", pa.binary())])
 _HITS = pa.schema([("doc_id", pa.int64()), ("at", pa.list_(pa.int32()))])
@@ -60,6 +64,16 @@ def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(docs, counts), total - np.repeat(before, counts), hashes
 
 
+def _least_grams(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """For windows of words that begin at ``at``: the smallest hash of a short sequence within."""
+    size = min(GRAM_WORDS, width)
+    if len(hashes) < width:
+        return np.zeros(0, U64)
+    begin = np.arange(len(hashes) - size + 1)
+    grams = mix(span_hash(prefix_hash(hashes, _WORD_BASE), begin, begin + size, _WORD_BASE))
+    return mix(slide(grams, width - size + 1, np.minimum, U64(0xFFFFFFFFFFFFFFFF))[at])
+
+
 def _smaller_elsewhere(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Mask of the windows whose hash a smaller document has."""
     if not len(hashes):
@@ -76,15 +90,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
     """Rows (doc_id, at): the first words of windows that a document with a smaller id holds too; some rows for each document."""
     n = buckets or BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], turn: int) -> Iterator[pa.RecordBatch]:
-        hashes, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    def block(held: list[tuple[np.ndarray, ...]], turn: int) -> Iterator[pa.RecordBatch]:
+        hashes, doc, at, name = (np.concatenate(x) for x in zip(*held, strict=True))
         if not len(hashes):
             return
         known = _smaller_elsewhere(hashes, doc)
         for settled in (False, True):
             mine = np.flatnonzero(known == settled)
             if len(mine):
-                bucket = (hashes[mine] % np.uint64(n)).astype(np.int32) if not settled else (mine // 65536 + turn) % n
+                bucket = (name[mine] % U64(n)).astype(np.int32) if not settled else (mine // 65536 + turn) % n
                 order = np.lexsort((at[mine], doc[mine], bucket))
                 mine, bucket = mine[order], bucket[order]
                 yield _packed(bucket, doc[mine], at[mine], None if settled else hashes[mine])
@@ -93,9 +107,10 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
         held, turn = [], 0
         for batch, data, offs in slices(batches):
             start, end, first = words(data, offs)
-            hashes, at, begins = window_hashes(word_hashes(data, start, end), first, width)
+            each = word_hashes(data, start, end)
+            hashes, at, begins = window_hashes(each, first, width)
             of = np.repeat(np.arange(len(offs) - 1), np.diff(begins))
-            held.append((hashes, batch.column(0).to_numpy()[of], at - first[of]))
+            held.append((hashes, batch.column(0).to_numpy()[of], at - first[of], _least_grams(each, at, width)))
             if len(held) == BLOCK_SLICES:
                 yield from block(held, turn)
                 held, turn = [], turn + 1

@@ -1,9 +1,10 @@
 """Exact removal of repeated byte strings by sorting suffixes.
 
 Any ``width`` bytes hold an anchor: the start of the short string (a gram) whose
-hash is smallest within them.  Equal strings have equal anchors at the same
-place, so only suffixes that begin at anchors of equal grams are compared, about
-one in 185 for strings of 400 bytes.
+hash is smallest within them, the first of equal ones.  Equal strings have equal
+anchors at the same place, so only suffixes that begin at anchors of equal grams
+are compared, about one in 185 for strings of 400 bytes.  The surroundings of an
+anchor are the bytes of the strings whose anchor it is.
 
 Anchors with equal surroundings form a class, counted in Spark by hashes alone.
 Of a window around an anchor half its bytes at least stand before the anchor or
@@ -25,41 +26,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._text import U64, _BYTE, binary_of, byte_prefix, list_of, mix, powers, prefix_hash, ragged, runs, slices, slide, span_hash, table
+from ._text import U64, _BYTE, binary_of, byte_prefix, list_of, mix, powers, ragged, runs, slices, slide, span_hash, table
 
 WIDTH = 400
 GRAM = 32
 #: Classes of one gram that a task sorts at most; grams with more go another way, also exact.
-SORTED_CLASSES = 8192
+SORTED_CLASSES = 32768
+#: Classes that a task sorts together, unless one gram has more.
+TOGETHER = 2048
 BUCKETS = 8
 
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors, hashes of their grams, and prefix hashes of the data."""
+def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Positions of the anchors, numbers of bytes of their surroundings before and from them, hashes of their grams, and prefix hashes of the data."""
     prefix = byte_prefix(data)
     n = len(data)
-    none = np.zeros(0, np.int64), np.zeros(0, U64), prefix
+    none = np.zeros(0, np.int64)
     if n < width:
-        return none
+        return none, none, none, np.zeros(0, U64), prefix
     reach = width - gram + 1
     at = np.arange(n - gram + 1)
     hashes = mix(span_hash(prefix, at, at + gram)) >> U64(1)
     end = np.repeat(offs[1:], np.diff(offs))  # of each position's text
     hashes[at + gram > end[at]] = _TOP
     least = slide(hashes, reach, np.minimum, _TOP)
-    least[at + width > end[at]] = 0  # no window of the text begins here
-    # a gram is an anchor if it is the least one of a window, all of which begin within reach before it
-    best = slide(least[::-1], reach, np.maximum, U64(0))[::-1]
-    pos = np.flatnonzero((best == hashes) & (hashes != _TOP) & (best > 0))
-    return pos, hashes[pos], prefix
-
-
-def surroundings(pos: np.ndarray, offs: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of bytes before and from each anchor that windows around it can hold."""
-    of = np.searchsorted(offs, pos, "right") - 1
-    return np.minimum(pos - offs[of], width - gram), np.minimum(offs[of + 1] - pos, width)
+    window = at[: n - width + 1]
+    window = window[window + width <= end[window]]
+    least = least[window]
+    # a window's anchor: the first of its positions with its least hash, looked for among all positions that are one's
+    some = np.unique(_first_least(hashes, window, least, reach))
+    chosen = np.searchsorted(some, window)
+    while (behind := np.flatnonzero(hashes[some[chosen]] != least)).size:
+        chosen[behind] += 1
+    first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(chosen) else none
+    last = np.append(first[1:], len(chosen)) - 1
+    pos = some[chosen[first]]
+    return pos, pos - window[first], window[last] + width - pos, hashes[pos], prefix
+
+
+def _first_least(hashes: np.ndarray, window: np.ndarray, least: np.ndarray, reach: int) -> np.ndarray:
+    """Positions that have the least hash of a window that holds them."""
+    low = np.zeros(len(hashes), U64)
+    low[window] = least
+    best = slide(low[::-1], reach, np.maximum, U64(0))[::-1]
+    return np.flatnonzero((best == hashes) & (hashes != _TOP) & (best > 0))
 
 
 class Suffixes:
@@ -72,15 +84,23 @@ class Suffixes:
         self.point = np.cumsum(size) - size + left
         self.group = group
         values = _BYTE[self.data]
-        self.prefix = prefix_hash(mix(values + U64(salt)) if salt else values)
-        self.down = powers(len(self.prefix) + 1)[1]
+        if salt:
+            values = mix(values + U64(salt))
+        # powers count from the start of each surrounding, so few are needed
+        self.start = self.point - left
+        up, self.down = powers(int(size.max(initial=0)) + 1)
+        if len(size):
+            values *= up[np.arange(len(values), dtype=np.int32) - np.repeat(self.start.astype(np.int32), size)]
+        self.prefix = np.zeros(len(values) + 1, U64)
+        np.cumsum(values, out=self.prefix[1:])
+
+    def hashes(self, rows: np.ndarray, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return (self.prefix[begin + size] - self.prefix[begin]) * self.down[begin - self.start[rows]]
 
     def equal(self, side: int, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Are the n bytes from (side 1) or before (side -1) two anchors equal, by their hashes?"""
-        a, b = self.point[i], self.point[j]
-        lo_a, lo_b = (a, b) if side > 0 else (a - n, b - n)
-        p, down = self.prefix, self.down
-        return (p[lo_a + n] - p[lo_a]) * down[lo_a] == (p[lo_b + n] - p[lo_b]) * down[lo_b]
+        back = 0 if side > 0 else n
+        return self.hashes(i, self.point[i] - back, n) == self.hashes(j, self.point[j] - back, n)
 
     def common(self, side: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common extension of two anchors, by binary search."""
@@ -199,8 +219,7 @@ def _repeated_offsets(s: Suffixes, rows: np.ndarray, width: int) -> tuple[np.nda
         fit = np.flatnonzero((s.left[rows] >= a) & (s.right[rows] >= width - a))
         if len(fit) < 2:
             continue
-        begin = s.point[rows[fit]] - a
-        h = mix(span_hash(s.prefix, begin, begin + width) + s.group[rows[fit]].astype(U64) * U64(0x9E3779B97F4A7C15))
+        h = mix(s.hashes(rows[fit], s.point[rows[fit]] - a, width) + s.group[rows[fit]].astype(U64) * U64(0x9E3779B97F4A7C15))
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
         hit = fit[count[back] > 1]
         low[hit] = np.where(low[hit] < 0, a, low[hit])
@@ -216,8 +235,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
-            pos, grams, prefix = anchors(data, offs, width, gram)
-            lo, hi = surroundings(pos, offs, width, gram) if len(pos) else (pos, pos)
+            pos, lo, hi, grams, prefix = anchors(data, offs, width, gram)
             around = mix(mix(span_hash(prefix, pos - lo, pos + hi) + lo.astype(U64)) + hi.astype(U64))
             # the half of a window from the anchor on, and the half before it with the gram; null where the text has less
             ahead = pa.array(mix(span_hash(prefix, pos, np.minimum(pos + half, len(data)))).view(np.int64), mask=hi < half)
@@ -230,18 +248,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     kind = "doc_id long, anchors array<struct<pos:int,gram:long,around:long,lo:short,hi:short,ahead:long,behind:long>>"
     light = stored(plain.filter("doc_id is not null").mapInArrow(find, kind), "anchors").select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.*")
-    sized = light.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("one"), F.min("ahead").alias("ahead"), F.min("behind").alias("behind"))
+    sized = light.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("one"), F.min("ahead").alias("ahead"), F.min("behind").alias("behind"))
     grams = sized.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("classes")).filter("all > 1")
     classes = stored(sized.join(grams.select("gram", "classes"), "gram").select("gram", "around", "n", "classes", "one.*", "ahead", "behind"), "classes")
     # classes that share half a window with another class
     multiple = classes.filter("classes > 1")
     shared = lambda half: multiple.groupBy(half).count().filter(F.col(half).isNotNull() & (F.col("count") > 1)).select(half, F.lit(True).alias(f"{half}_shared"))
-    sharing = multiple.join(shared("ahead"), "ahead", "left").join(shared("behind"), "behind", "left").filter("ahead_shared or behind_shared").select("gram", "around", "n", "doc_id", "pos")
+    sharing = multiple.join(shared("ahead"), "ahead", "left").join(shared("behind"), "behind", "left").filter("ahead_shared or behind_shared").select("gram", "around", "n", "doc_id", "pos", "lo", "hi")
     again = sharing.groupBy("gram").agg(F.count("*").alias("classes")).filter("classes > 1")
     compared = stored(sharing.join(again, "gram"), "compared")
 
     # one surrounding of each
-    wanted = compared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram", "around", "n", "classes")).alias("wanted"))
+    wanted = compared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram", "around", "n", "classes", "lo", "hi")).alias("wanted"))
     shown = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("several", pa.bool_()), ("classes", pa.int64()), ("lo", pa.int32()), ("bytes", pa.binary())])
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +268,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             x = lists.flatten()
             get = lambda k: x.field(k).to_numpy(zero_copy_only=False)
             pos = np.repeat(offs[:-1], lists.value_lengths().to_numpy().astype(np.int64)) + get(0)
-            lo, hi = surroundings(pos, offs, width, gram)
+            lo, hi = get(5).astype(np.int64), get(6).astype(np.int64)
             size = lo + hi
             yield table(shown, [x.field(1), x.field(2), get(3) > 1, x.field(4), lo.astype(np.int32), binary_of(data[ragged(pos - lo, size)], np.concatenate([np.zeros(1, np.int64), np.cumsum(size)]))])
 
@@ -268,9 +286,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         several, done, at = rows.column("several").to_numpy(), [], 0
         group = np.cumsum(np.append(True, gram_[1:] != gram_[:-1])) - 1
         while at < len(gram_):
-            to = int(np.searchsorted(group, group[min(at + SORTED_CLASSES // 4, len(group) - 1)], "left"))
+            to = int(np.searchsorted(group, group[min(at + TOGETHER, len(group) - 1)], "left"))
             to = to if to > at else int(np.searchsorted(group, group[at], "right"))
-            if at + SORTED_CLASSES // 4 >= len(group):
+            if at + TOGETHER >= len(group):
                 to = len(group)
             done.append(extents(rows.column("bytes").slice(at, to - at).to_pylist(), lo[at:to], group[at:to], several[at:to], width))
             at = to
@@ -283,10 +301,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     sorted_ = sortable.groupBy("bucket").applyInArrow(sort, result)
     hot = _hot_extents(contexts.filter(F.col("classes") > SORTED_CLASSES), width, buckets)
     # anchors of one class share all that windows around them can hold
-    alone = classes.filter("n > 1").select("gram", "around", F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("after"))
+    alone = classes.filter("n > 1").select("gram", "around", F.col("lo").cast("int").alias("before"), F.col("hi").cast("int").alias("after"))
     extent = alone.union(sorted_).union(hot)  # a class of several anchors can be in two of these
     spans = light.join(extent, ["gram", "around"])
-    return spans.select("doc_id", (F.col("pos") - F.coalesce("before", "lo")).alias("start"), (F.col("pos") + F.coalesce("after", "hi")).alias("end"))
+    return spans.select("doc_id", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("end"))
 
 
 def _hot_extents(contexts: DataFrame, width: int, buckets: int) -> DataFrame:

@@ -30,6 +30,8 @@ from ._text import U64, _BYTE, binary_of, byte_prefix, list_of, mix, powers, rag
 
 WIDTH = 400
 GRAM = 32
+#: One gram in so many is looked at first when anchors are sought.
+FEW = 16
 #: Classes of one gram that a task sorts at most; grams with more go another way, also exact.
 SORTED_CLASSES = 32768
 #: Classes that a task sorts together, unless one gram has more.
@@ -40,19 +42,83 @@ _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Positions of the anchors, numbers of bytes of their surroundings before and from them, hashes of their grams, and prefix hashes of the data."""
+    """Positions of the anchors, numbers of bytes of their surroundings before and from them, hashes of their grams, and prefix hashes of the data.
+
+    A window nearly always holds grams whose hashes are in the lowest FEW-th of
+    all, and then one of those is its anchor; so only they are looked at.  Texts
+    with a window that holds none are gone through whole.
+    """
     prefix = byte_prefix(data)
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none, np.zeros(0, U64), prefix
+    hashes = _gram_hashes(prefix, gram)
+    low = np.flatnonzero(hashes < _TOP // U64(2 * FEW))
+    text = np.searchsorted(offs, low, "right") - 1
+    inside = low + gram <= offs[text + 1]
+    low, text = low[inside], text[inside]
+    small = hashes[low]
+    # windows that begin between two of these places hold the same of the low grams
+    reach = width - gram + 1
+    long_ = np.flatnonzero(np.diff(offs) >= width)
+    enters, leaves = low - reach + 1, low + 1
+    start = np.unique(np.concatenate([offs[long_], enters[enters >= offs[text]], leaves[leaves + width <= offs[text + 1]]]))
+    of = np.searchsorted(offs, start, "right") - 1
+    lo, hi = np.searchsorted(low, start), np.searchsorted(low, start + reach)
+    bare = np.unique(of[lo == hi])
+    if len(bare):
+        kept = ~np.isin(of, bare)
+        start, of, lo, hi = start[kept], of[kept], lo[kept], hi[kept]
+    best = _first_of_least(small, lo, hi)
+    first = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (of[1:] != of[:-1]))) if len(best) else none
+    pos, begin = low[best[first]], start[first]
+    end = offs[of[first] + 1] - width  # the last window of each anchor: the one before the next anchor's first, or the text's
+    same = of[first[1:]] == of[first[:-1]]
+    end[:-1][same] = begin[1:][same] - 1
+    before, after = pos - begin, end + width - pos
+    if len(bare):
+        size = np.diff(offs)[bare]
+        own = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        at, b, a = _anchors_of_all(data[ragged(offs[bare], size)], own, width, gram)
+        at += np.repeat(offs[bare] - own[:-1], np.diff(np.searchsorted(at, own)))
+        pos, before, after = np.concatenate([pos, at]), np.concatenate([before, b]), np.concatenate([after, a])
+        order = np.argsort(pos)
+        pos, before, after = pos[order], before[order], after[order]
+    return pos, before, after, hashes[pos], prefix
+
+
+def _gram_hashes(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes, below 2**63, of the grams at all positions."""
+    n = len(prefix) - gram
+    return mix((prefix[gram:] - prefix[:-gram]) * powers(len(prefix))[1][:n]) >> U64(1)
+
+
+def _first_of_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each range lo..hi (not empty) the index of its least value, the first of equal ones."""
+    if not len(lo):
+        return lo
+    level = np.frexp((hi - lo).astype(float))[1] - 1  # 2**level values fit in the range
+    best = np.empty_like(lo)
+    least = np.arange(len(values))  # of 2**k values from each place on
+    for k in range(int(level.max()) + 1):
+        mine = np.flatnonzero(level == k)
+        x, y = least[lo[mine]], least[hi[mine] - (1 << k)]
+        best[mine] = np.where(values[x] <= values[y], x, y)
+        x, y = least[: -(1 << k)], least[1 << k :]
+        least = np.where(values[x] <= values[y], x, y)
+    return best
+
+
+def _anchors_of_all(data: np.ndarray, offs: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and surroundings of the anchors among all grams; every text has ``width`` bytes or more."""
     reach = width - gram + 1
-    at = np.arange(n - gram + 1)
-    hashes = mix(span_hash(prefix, at, at + gram)) >> U64(1)
+    hashes = _gram_hashes(byte_prefix(data), gram)
+    at = np.arange(len(hashes))
     end = np.repeat(offs[1:], np.diff(offs))  # of each position's text
     hashes[at + gram > end[at]] = _TOP
     least = slide(hashes, reach, np.minimum, _TOP)
-    window = at[: n - width + 1]
+    window = at[: len(data) - width + 1]
     window = window[window + width <= end[window]]
     least = least[window]
     # a window's anchor: the first of its positions with its least hash, looked for among all positions that are one's
@@ -60,10 +126,11 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int =
     chosen = np.searchsorted(some, window)
     while (behind := np.flatnonzero(hashes[some[chosen]] != least)).size:
         chosen[behind] += 1
-    first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(chosen) else none
+    text = np.searchsorted(offs, window, "right") - 1
+    first = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])))
     last = np.append(first[1:], len(chosen)) - 1
     pos = some[chosen[first]]
-    return pos, pos - window[first], window[last] + width - pos, hashes[pos], prefix
+    return pos, pos - window[first], window[last] + width - pos
 
 
 def _first_least(hashes: np.ndarray, window: np.ndarray, least: np.ndarray, reach: int) -> np.ndarray:

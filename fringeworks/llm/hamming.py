@@ -87,7 +87,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         probe = probes[0]
         for p in probes[1:]:
             probe = probe.union(p)
-        met = probe.join(index, "key").withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
+        met = probe.hint("merge").join(index, "key")  # the masks make probes many more than Spark expects, so never a broadcast
+        met = met.withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
         apart = [F.bit_count(part(F.col("x"), *s)) for s in cut]
         # the first of the segments that are nearest
         first = F.array_position(F.array(*apart), F.lit(radius)) - 1

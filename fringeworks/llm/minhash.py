@@ -139,13 +139,16 @@ def undecided(members: DataFrame, looked: DataFrame, labels: DataFrame, held: Da
 
     members: bucket, doc_id, n, members, rank, all but the first compared with
     it.  Adds i (shared with the first; null if their sizes differ too much to
-    have been compared) and s (shared with others, but not with the first).
+    have been compared) and s (shared with others, but not with the first, at
+    most): a shingle counts as a member's own only where no first one holds it,
+    or it would be taken off with i and again as own.
     """
     rest = members.filter("members > 2 and rank > 1").select("bucket", "doc_id", "n").join(labels, "doc_id")
     several = rest.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min("n").alias("least")).filter("p < q").select("bucket", "least")
     heads = members.filter("rank = 1").select("bucket", F.col("doc_id").alias("a"))
     rest = stored(rest.join(several, "bucket").join(heads, "bucket"), "undecided")
-    own = own_shingles(held.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), width)
+    compared = rest.select("doc_id").union(rest.select("a")).distinct()
+    own = own_shingles(held.join(compared, "doc_id", "left_semi"), width)
     rest = rest.join(looked.select("a", F.col("b").alias("doc_id"), F.col("both").alias("i")), ["a", "doc_id"], "left").join(own, "doc_id", "left")
     rest = rest.withColumn("s", F.col("n") - F.col("i") - F.coalesce("own", F.lit(0)))
     # with the smallest set of the bucket that its size admits, at best

@@ -119,6 +119,22 @@ def test_family_of_near_copies(spark):
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == brute_components(texts)
 
 
+def test_link_beside_the_hub(spark):
+    """Of h < x < y, y links with x alone: most of what x and the hub share is not in y."""
+    texts = {}
+    for t in range(12):
+        h = [f"t{t}w{k}" for k in range(404)]
+        x = list(h)
+        x[50] = f"t{t}x"  # 5 of 400 shingles
+        y = list(x)
+        y[200:253] = [f"t{t}y{k}" for k in range(53)]  # 57 others
+        texts |= {3 * t: " ".join(h), 3 * t + 1: " ".join(x), 3 * t + 2: " ".join(y)}
+    want = brute_components(texts)
+    assert {c for _, c in want.values()} == set(range(0, 36, 3))
+    got = result(minhash.components(frame(spark, list(texts.values()))))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+
+
 def test_base_statistics(spark):
     texts = corpus(3)
     got = result(quality.quality(frame(spark, texts)))

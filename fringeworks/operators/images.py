@@ -67,17 +67,24 @@ def eroded(mask: DataFrame) -> DataFrame:
     return _neighbours(mask.select("x", "y").distinct()).groupBy("x", "y").count().filter(F.col("count") == len(_CROSS)).select("x", "y")
 
 
-def islands(mask: DataFrame, rounds: int = 64) -> DataFrame:
-    """Connected components of pixels: (x, y, island), named by the least x * 2^20 + y; labels spread until none changes."""
+def islands(mask: DataFrame) -> DataFrame:
+    """Connected components of pixels: (x, y, island), named by the least x * 2^20 + y; labels spread until none changes.
+
+    A label is a pixel of the island, so labels also jump to their own pixel's
+    label: a round reaches about twice as far as the one before.
+    """
     from ..plans.tables import stored
 
-    label = stored(mask.select("x", "y", (F.col("x").cast("long") * (1 << 20) + F.col("y")).alias("island")).distinct(), "islands")
-    for _ in range(rounds):
+    name = (F.col("x").cast("long") * (1 << 20) + F.col("y")).alias("island")
+    label = stored(mask.select("x", "y", name).distinct(), "islands")
+    while True:
         near = label.crossJoin(F.broadcast(label.sparkSession.createDataFrame(_CROSS, "dx int, dy int"))).select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "island")
         least = near.groupBy("x", "y").agg(F.min("island").alias("least"))
-        step = stored(label.join(least, ["x", "y"]).select("x", "y", "least", (F.col("least") < F.col("island")).alias("moved")), "islands")
-        label = step.select("x", "y", F.col("least").alias("island"))
-        if not step.filter("moved").take(1):
+        step = label.join(least, ["x", "y"])
+        jump = step.select(name.alias("least"), F.col("least").alias("further"))
+        moved = stored(step.join(jump, "least").select("x", "y", F.col("further").alias("next"), (F.col("further") < F.col("island")).alias("moved")), "islands")
+        label = moved.select("x", "y", F.col("next").alias("island"))
+        if not moved.filter("moved").take(1):
             break
     return label
 

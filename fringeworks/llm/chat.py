@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._shared import stored
 
-#: Shorter passages, in characters, link nothing.
+#: Shorter lines, in characters, link nothing where they are a part of what is quoted; a whole quoted level links at any length.
 MIN_PASSAGE = 12
 _MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 _ATTRIBUTION = r"(?i)^on .+ wrote:\s*$"
@@ -38,11 +38,12 @@ def parsed(text: Column) -> Column:
 
 
 def _passages(messages: DataFrame, min_passage: int) -> DataFrame:
-    """(conv_id, turn, level, passage, size): hashes of the lines and of the whole levels of each message."""
+    """(conv_id, turn, level, passage, size): hashes of the lines of ``min_passage`` characters and of the whole levels of each message."""
     levels = F.filter(F.array_distinct(F.transform("lines", lambda x: x["level"])), lambda n: n >= 0)
     whole = F.transform(levels, lambda n: F.struct(n.alias("level"), normal(F.concat_ws(" ", F.transform(F.filter("lines", lambda x: x["level"] == n), lambda x: x["body"]))).alias("text")))
     single = F.transform(F.filter("lines", lambda x: x["level"] >= 0), lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("text")))
-    every = messages.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(whole, single))).alias("p")).filter(F.length("p.text") >= min_passage)
+    single = F.filter(single, lambda p: F.length(p["text"]) >= min_passage)
+    every = messages.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(whole, single))).alias("p")).filter(F.length("p.text") > 0)
     return every.select("conv_id", "turn", F.col("p.level").alias("level"), F.sha2(F.col("p.text"), 256).alias("passage"), F.length("p.text").alias("size"))
 
 
@@ -55,7 +56,7 @@ def linked(conversations: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFram
     messages = conversations.select("conv_id", "turn", parsed(F.col("text")).alias("lines"))
     quoting = messages.filter(F.exists("lines", lambda x: x["level"] > 0))
     quotes = _passages(quoting, min_passage).filter("level > 0").groupBy("conv_id", "turn", "passage", "size").agg(F.min("level").alias("level"))
-    said = _passages(messages, min_passage).filter("level = 0").groupBy("conv_id", "passage").agg(F.min("turn").alias("original"))
+    said = _passages(messages, 1).filter("level = 0").groupBy("conv_id", "passage").agg(F.min("turn").alias("original"))
     pairs = quotes.join(said, ["conv_id", "passage"]).filter("original < turn")
     strength = pairs.groupBy("conv_id", "turn", "original").agg(F.min("level").alias("level"), F.sum("size").alias("size"))
     best = F.max_by("original", F.struct(-F.col("level"), F.col("size"), F.col("original")))

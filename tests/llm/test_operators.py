@@ -263,6 +263,23 @@ def test_quotation_linking(spark):
     assert got[2, 0].reply_to is None and got[None, 3].path == []
 
 
+def test_short_quotations(spark):
+    """Whole quoted levels link at any length; short lines of a longer quote, and empty ones, do not."""
+    rows = [
+        (1, 0, "user", "Hello.\nIt rained all day long.", "x"),
+        (1, 1, "assistant", "Are you ok?", "x"),
+        (1, 2, "user", "> Are  you OK?\n>\nYes, please", "x"),
+        (1, 3, "assistant", "> > Are you ok?\n> Yes, please\nFine.", "x"),
+        (1, 4, "user", "> Fine.\nGood", "x"),
+        (1, 5, "user", "> Fine.\n> and words from elsewhere\nHm", "x"),
+        (1, 6, "user", ">\n>\nNothing quoted", "x"),
+        (1, 7, "user", "> Hello.\nA line of a longer message", "x"),
+    ]
+    got = result(chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string")), "turn")
+    assert [got[k].reply_to for k in range(8)] == [None, None, 1, 2, 3, None, None, 0]
+    assert got[4].path == [1, 2, 3, 4] and got[4].thread == 1
+
+
 def test_hamming_top_k(spark):
     r = np.random.default_rng(0)
     vectors = r.normal(size=(400, 64))

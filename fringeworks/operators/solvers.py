@@ -8,6 +8,7 @@ that cut the lineage.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from math import log, pi, sqrt
 
@@ -143,33 +144,54 @@ def hogbom(residual: DataFrame, psf: np.ndarray, gain: float, threshold: float,
     return model, residual
 
 
-def clark(residual: DataFrame, psf: np.ndarray, nx: int, ny: int, gain: float = 0.1, minor: float = 0.5, threshold: float = 1e-3, majors: int = 10, steps: int = 500) -> DataFrame:
-    """CLEAN in major and minor cycles for each band: minor steps among pixels above a share of the peak, then a full subtraction."""
-    hat = kernel_transform(psf)
-    px, py = psf.shape
+def _unfinished(name: str, rounds: int, left: float) -> None:
+    warnings.warn(f"{name}: not converged after {rounds} rounds, {left:.3e} left", RuntimeWarning, stacklevel=3)
 
-    def work(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        r, model = c["value"].copy(), np.zeros((nx, ny))
-        for _ in range(majors):
-            peak = np.abs(r).max()
-            if peak <= threshold:
+
+def clark(residual: DataFrame, psf: np.ndarray, nx: int, ny: int, gain: float = 0.05, minor: float = 0.5, threshold: float = 0.0, share: float = 0.05, majors: int = 50, steps: int = 1000) -> DataFrame:
+    """CLEAN in major and minor cycles to ``share`` of the first peak of the sum over bands, or ``threshold``; warns if it ends above.
+
+    Minor steps take the peak of the squared sum over bands among the pixels above
+    a share of it, and update every band there; they run on the driver, which holds
+    these pixels and the model.  Major cycles subtract the model from all pixels.
+    """
+    spark, (px, py), top, hat = residual.sparkSession, psf.shape, float(psf.max()), kernel_transform(psf)
+    dirty = stored(residual.select("band", "x", "y", F.col("value").cast("double").alias("value")), "dirty")
+    bands = [r[0] for r in dirty.select("band").distinct().orderBy("band").collect()]
+    row = {b: k for k, b in enumerate(bands)}
+    model: dict[tuple[int, int], np.ndarray] = {}
+    state, goal = dirty, None
+    flux = lambda: spark.createDataFrame([(b, x, y, float(v[row[b]])) for (x, y), v in model.items() for b in bands], "band int, x int, y int, model double")
+    for k in range(majors + 1):
+        total = state.groupBy("x", "y").agg(F.sum("value").alias("s"))
+        peak = total.agg(F.max(F.abs("s"))).first()[0]
+        goal = max(share * (peak or 0.0), threshold) if goal is None else goal
+        if peak is None or peak <= goal:
+            break
+        if k == majors:
+            _unfinished("clark", majors, peak)
+            break
+        bound = minor * peak
+        rows = state.join(total.filter(F.abs("s") > bound).select("x", "y"), ["x", "y"]).select("band", "x", "y", "value").collect()
+        pixels = sorted({(r["x"], r["y"]) for r in rows})
+        place = {p: i for i, p in enumerate(pixels)}
+        active = np.zeros((len(bands), len(pixels)))
+        for r in rows:
+            active[row[r["band"]], place[r["x"], r["y"]]] = r["value"]
+        x, y = np.array(pixels).T
+        for _ in range(steps):
+            sums = active.sum(axis=0) ** 2
+            q = int(np.argmax(sums))
+            if sqrt(sums[q]) <= bound:
                 break
-            x, y = np.nonzero(np.abs(r) > minor * peak)
-            active, new = r[x, y].copy(), np.zeros((nx, ny))
-            for _ in range(steps):
-                k = int(np.argmax(np.abs(active)))
-                if abs(active[k]) <= max(minor * peak, threshold):
-                    break
-                flux = gain * active[k] / psf.max()
-                new[x[k], y[k]] += flux
-                i, j = x - x[k] + px // 2, y - y[k] + py // 2
-                inside = (i >= 0) & (i < px) & (j >= 0) & (j < py)
-                active[inside] -= flux * psf[i[inside], j[inside]]
-            model += new
-            r -= convolve(new, hat, psf.shape)
-        return {"model": model, "residual": r}
-
-    return by_band(residual, work, ["value"], nx, ny, ["model", "residual"])
+            new = gain * active[:, q] / top
+            model[pixels[q]] = model.get(pixels[q], 0.0) + new
+            i, j = x - x[q] + px // 2, y - y[q] + py // 2
+            inside = (i >= 0) & (i < px) & (j >= 0) & (j < py)
+            active[:, inside] -= new[:, None] * psf[i[inside], j[inside]]
+        seen = by_band(flux(), lambda c: {"seen": convolve(c["model"], hat, psf.shape)}, ["model"], nx, ny, ["seen"])
+        state = stored(dirty.join(seen, ["band", "x", "y"], "left").select("band", "x", "y", (F.col("value") - F.coalesce("seen", F.lit(0.0))).alias("value")), "residual")
+    return state.join(flux(), ["band", "x", "y"], "left").select("band", "x", "y", F.coalesce("model", F.lit(0.0)).alias("model"), F.col("value").alias("residual"))
 
 
 def fista(images: DataFrame, psf: np.ndarray, nx: int, ny: int, step: float, rounds: int = 100, positive: bool = True) -> DataFrame:
@@ -191,8 +213,18 @@ def fista(images: DataFrame, psf: np.ndarray, nx: int, ny: int, step: float, rou
     return by_band(images, work, ["value"], nx, ny, ["value"])
 
 
-def primal_dual(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, bound: float, rounds: int = 8, gamma: float = 1.0) -> DataFrame:
-    """argmin of |b - Ax|^2 / 2 + bound sum_pixels |sum over bands| with x >= 0, the basis being the pixels.
+def relative_change(state: DataFrame, now: str, before: str) -> float:
+    """Norm of the difference of two columns as a share of the first one's norm."""
+    d = F.col(now) - F.col(before)
+    num, den = state.agg(F.sum(d * d), F.sum(F.col(now) * F.col(now))).first()
+    return sqrt((num or 0.0) / max(den or 0.0, 1e-12))
+
+
+def primal_dual(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, bound: float, rounds: int = 1000, gamma: float = 1.0, tol: float = 1e-5, least: int = 10) -> DataFrame:
+    """Fixed point x >= 0 of primal-dual steps on x'Ax / 2 - b'x with a joint threshold over bands, the basis being the pixels.
+
+    For one band it is the argmin of that and bound sum |x|.  Steps end when x
+    moves by ``tol`` of its norm, looked at every fourth round; warns if it never does.
 
     Gradient steps are grouped by band; the dual update couples the bands of a
     pixel through a window, one shuffle for each round.
@@ -203,6 +235,7 @@ def primal_dual(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, bound: float
     tau = 0.98 / (norm / 2 + sigma)
     pixels = Window.partitionBy("x", "y")
     state = cube.select("band", "x", "y", F.col("value").alias("b"), F.lit(0.0).alias("p"), F.lit(0.0).alias("v"))
+    moved = 1.0
     for k in range(rounds):
         raised = F.col("v") + sigma * F.col("p")
         total = F.nullif(F.abs(F.sum("raised").over(pixels)), F.lit(0.0))
@@ -210,22 +243,33 @@ def primal_dual(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, bound: float
 
         def work(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
             x = c["p"] - tau * (2 * c["next"] - c["v"] + (a(c["p"]) - c["b"]) / gamma)
-            return {"b": c["b"], "p": np.maximum(x, 0), "v": c["next"]}
+            return {"b": c["b"], "p": np.maximum(x, 0), "v": c["next"], "last": c["p"]}
 
-        state = by_band(dual, work, ["b", "p", "v", "next"], nx, ny, ["b", "p", "v"])
-        if k % 4 == 3:
+        state = by_band(dual, work, ["b", "p", "v", "next"], nx, ny, ["b", "p", "v", "last"])
+        if k % 4 == 3 or k == rounds - 1:
             state = stored(state, "primal")
+            moved = relative_change(state, "p", "last")
+            if moved <= tol and k + 1 >= least:
+                break
+    else:
+        _unfinished("primal_dual", rounds, moved)
     return state.select("band", "x", "y", F.col("p").alias("value"))
 
 
-def forward_backward(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, step: float, majors: int = 3) -> DataFrame:
-    """Major cycles of a flux update H^-1 r in each band and a joint threshold over the bands."""
+def forward_backward(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, step: float, majors: int = 1000, tol: float = 1e-5) -> DataFrame:
+    """Major cycles of a flux update H^-1 r in each band and a joint threshold over the bands, until the model moves by ``tol`` of its norm; warns if it never does."""
     a = hessian(psf, 0.0)
     state = cube.select("band", "x", "y", F.col("value").alias("b"), F.lit(0.0).alias("m"))
+    change = 1.0
     for _ in range(majors):
-        moved = by_band(state, lambda c: {"b": c["b"], "m": c["m"] + conjugate_gradient(hessian(psf, 0.05), c["b"] - a(c["m"]), most=30)}, ["b", "m"], nx, ny, ["b", "m"])
+        moved = by_band(state, lambda c: {"b": c["b"], "m": c["m"] + conjugate_gradient(hessian(psf, 0.05), c["b"] - a(c["m"])), "last": c["m"]}, ["b", "m"], nx, ny, ["b", "m", "last"])
         size = F.abs(F.sum("m").over(Window.partitionBy("x", "y")))
         state = stored(moved.withColumn("s", size).withColumn("m", F.when(F.col("s") > 0, F.greatest(F.col("m") * F.greatest(F.col("s") - step, F.lit(0.0)) / F.col("s"), F.lit(0.0))).otherwise(0.0)).drop("s"), "model")
+        change = relative_change(state, "m", "last")
+        if change <= tol:
+            break
+    else:
+        _unfinished("forward_backward", majors, change)
     return state.select("band", "x", "y", F.col("m").alias("value"))
 
 

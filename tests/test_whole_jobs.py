@@ -1,6 +1,23 @@
 """Operators on inputs larger than those of the registered queries."""
 
-from fringeworks.operators import images
+import numpy as np
+import pytest
+from fringeworks.operators import images, solvers
+
+N = 8
+PSF = solvers.gaussian_kernel(16, 1.5, 1.2, 0.4)
+
+
+def cube(spark, bands):
+    rows = [(b, x, y, float(v[x, y])) for b, v in enumerate(bands) for x in range(N) for y in range(N)]
+    return spark.createDataFrame(rows, "band int, x int, y int, value double")
+
+
+def dense(df, column="value", bands=2):
+    out = np.zeros((bands, N, N))
+    for r in df.collect():
+        out[r.band, r.x, r.y] = r[column]
+    return out
 
 
 def test_islands_longer_than_their_rounds(spark):
@@ -12,3 +29,36 @@ def test_islands_longer_than_their_rounds(spark):
     for r in got:
         by.setdefault(r.island, set()).add((r.x, r.y))
     assert by == {min(x * 2**20 + y for x, y in s): set(s) for s in (line, bent, [(50, 50)])}
+
+
+def test_clark_takes_the_peak_of_the_sum_over_bands(spark):
+    """A source of both bands is cleaned; one that cancels in the sum is left alone."""
+    sky = np.zeros((2, N, N))
+    sky[:, 2, 2], sky[0, 5, 5], sky[1, 5, 5] = 1.0, 1.5, -1.5
+    hat = solvers.kernel_transform(PSF)
+    dirty = [solvers.convolve(v, hat, PSF.shape) for v in sky]
+    got = solvers.clark(cube(spark, dirty), PSF, N, N).cache()
+    model, residual = dense(got, "model"), dense(got, "residual")
+    assert np.allclose(model[:, 2, 2], 1.0, atol=0.1) and not model[:, 5, 5].any()
+    assert np.abs(residual.sum(0)).max() <= 0.05 * np.abs(np.sum(dirty, 0)).max()
+    assert np.allclose(residual, [d - solvers.convolve(m, hat, PSF.shape) for d, m in zip(dirty, model)])
+    with pytest.warns(RuntimeWarning, match="clark"):
+        solvers.clark(cube(spark, dirty), PSF, N, N, majors=1)
+
+
+def test_primal_dual_is_optimal(spark):
+    """x > 0 where the gradient is 0, and x = 0 where it is positive."""
+    b = np.random.default_rng(0).normal(size=(N, N))
+    x = dense(solvers.primal_dual(cube(spark, [b]), PSF, N, N, 0.1), bands=1)[0]
+    gradient = solvers.hessian(PSF, 0.0)(x) - b + 0.1
+    assert np.abs(np.minimum(x, gradient)).max() < 1e-3
+
+
+def test_forward_backward_is_a_fixed_point(spark):
+    b = np.random.default_rng(1).normal(size=(2, N, N))
+    m = dense(solvers.forward_backward(cube(spark, b), PSF, N, N, 0.1))
+    a = solvers.hessian(PSF, 0.0)
+    moved = np.stack([y + solvers.conjugate_gradient(solvers.hessian(PSF, 0.05), v - a(y)) for v, y in zip(b, m)])
+    s = np.abs(moved.sum(0))
+    again = np.maximum(moved * np.maximum(s - 0.1, 0) / s, 0)
+    assert np.linalg.norm(again - m) <= 2e-5 * np.linalg.norm(m)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the tables lie that this process has stored.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_EVERY: dict[str, None] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and Spark runs in this process."""
@@ -24,8 +29,33 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: computed once, and safe from lost executors."""
+    """``df`` written as Parquet to the shared folder and read back: computed once, and safe from lost executors.
+
+    ``discard`` deletes such a table as soon as nothing reads it; ``release``
+    deletes all of a session, once its results are written.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    _EVERY[path] = None
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for df in tables:
+        _delete(df.sparkSession, _FOLDERS.pop(df))
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table stored so far and not discarded; results that are not written yet are lost."""
+    for path in list(_EVERY):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _EVERY.pop(path, None)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

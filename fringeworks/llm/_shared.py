@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from ..plans.tables import new_folder, shared_folder, stored
+from ..plans.tables import discard, new_folder, shared_folder, stored
 
-__all__ = ["new_folder", "shared_folder", "stored"]
+__all__ = ["discard", "new_folder", "shared_folder", "stored"]

@@ -12,10 +12,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are taken in slices of about this many bytes, which bounds the temporaries of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1_000_000
+#: Powers that a worker keeps between tasks; a longer text has its own for as long as its task runs.
+KEPT_POWERS = 1 << 20
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -50,6 +54,13 @@ def powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def forget_powers() -> None:
+    """Lets the powers go that only very long texts need."""
+    for base, (up, down) in list(_POWERS.items()):
+        if len(up) > KEPT_POWERS:
+            _POWERS[base] = (up[:KEPT_POWERS].copy(), down[:KEPT_POWERS].copy())
+
+
 def prefix_hash(values: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """P with P[i] = sum of values[j] * base**j over j < i."""
     out = np.zeros(len(values) + 1, U64)
@@ -169,6 +180,11 @@ def runs(mask: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(mask & (~before | cut[:-1])), np.flatnonzero(mask & (~after | cut[1:])) + 1
 
 
+def bytes_of(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts, by which numbers of buckets are set."""
+    return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+
+
 def table(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array,)) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

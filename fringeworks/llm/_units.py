@@ -19,9 +19,11 @@ import pyarrow.compute as pc
 import regex
 
 from ._text import _SPACE, ragged
+from ._worker import held
 
-#: Distinct units remembered by a Python worker before it starts afresh.
-REMEMBERED = 250_000
+#: Distinct units that a Python worker remembers before it starts afresh, and their bytes: a memory of some 60 MB at most.
+REMEMBERED = 200_000
+REMEMBERED_BYTES = 8 << 20
 
 
 def tokenizer_path(path: str) -> str:
@@ -89,7 +91,7 @@ class UnitEncoder:
         self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.held_bytes = 0
 
     def _ranked(self, model: dict):
         """The same byte-level vocabulary for ``tiktoken``, if its ids follow the order of its merges; its BPE is the faster one."""
@@ -136,13 +138,14 @@ class UnitEncoder:
         self.ends[k + 1 : k + 1 + len(units)] = self.used + np.cumsum(lengths)
         self.used += len(flat)
         self.known.update(zip(units, range(k, k + len(units))))
+        self.held_bytes += sum(map(len, units))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and the offset of each text's first id (one more at the end)."""
         begins = cuts(data, offs)
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        if len(self.known) > self.remembered:
+        if len(self.known) > self.remembered or self.held_bytes > REMEMBERED_BYTES or len(self.parts) > self.remembered:
             self._forget()
         bounds = np.append(begins, len(data)).astype(np.int32)
         units = pa.StringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
@@ -156,11 +159,6 @@ class UnitEncoder:
         return self.ids[ragged(start, end - start)], done[np.searchsorted(begins, offs)]
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
-    """The encoder of a file; one for each Python worker, whatever the number of its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of a file, which a Python worker keeps from task to task."""
+    return held(("encoder", path), lambda: UnitEncoder(path))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ._shared import stored
 from ._text import binary_of, list_of, ragged, slices, table
 from ._units import encoder
+from ._worker import tidy
 
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1
@@ -45,7 +46,7 @@ def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int
             yield table(schema, [np.full(len(ends), part), at + offsets[:-1], batch.column(0), list_of(out, offsets, pa.int32())])
             at += len(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _TOKENS)
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_OF_DOCUMENT, ids_as: str = "array<int>") -> DataFrame:
@@ -53,8 +54,10 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence_tokens:
 
     docs: doc_id, text; other columns are ignored.  A null or empty text is the
     end token alone.  ids is an array of int or, with ids_as="binary", the ids as
-    little-endian unsigned 32-bit integers.  Repeated rows are packed as often as they occur.  An empty
-    table gives no pieces.  Sequences are full but for the last one.
+    little-endian unsigned 32-bit integers.  Rows with a null doc_id are packed
+    like others, under a null doc_id.  A text of any length is packed whole, in as
+    many pieces as it needs.  Repeated rows are packed as often as they occur.  An
+    empty table gives no pieces.  Sequences are full but for the last one.
     """
     tokens = stored(tokenized(docs, tokenizer, end_id), "tokens")
     totals = tokens.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n"))
@@ -78,7 +81,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence_tokens:
                 hi = np.minimum(begin[row] + size[row], (seq + 1) * sequence_tokens)
                 bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(hi - lo)])
                 cells = binary_of(np.ascontiguousarray(flat, "<i4").view(np.uint8), bounds * 4) if ids_as == "binary" else list_of(flat, bounds, pa.int32())
-                yield table(schema, [batch.column(0).to_numpy(zero_copy_only=False)[row], lo - begin[row], hi - lo, cells, size[row], seq, lo - seq * sequence_tokens])
+                yield table(schema, [batch.column(0).take(pa.array(row)), lo - begin[row], hi - lo, cells, size[row], seq, lo - seq * sequence_tokens])
 
     placed = tokens.join(F.broadcast(before), "part").select("doc_id", "ids", (F.col("before") + F.col("within")).alias("begin"))
     return placed.mapInArrow(cut, _PIECES.format(ids_as))

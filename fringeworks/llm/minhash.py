@@ -5,13 +5,23 @@ so a signature of 160 values takes 80 hash evaluations of a shingle.  Bands of
 four values (two permutations) name buckets; documents that meet in a bucket
 are candidates, and every candidate is confirmed on the full shingle sets.
 
-Documents with equal sets are one member.  Within a bucket members are compared
-with a few hubs at a time, and only while the bucket spans more than one
-component: a group of copies costs one comparison for each member.  A pair that
-ends in different components has either been compared or been excluded by a
-bound: two sets x, y of which a hub h shares i(x), i(y) members, and which hold
-s(x), s(y) more that any other candidate holds too, share at most
-min(i(x), i(y)) + min(s(x), s(y)).
+Documents with equal sets are one member.  Each bucket has a hub, the member
+that meets most others over all its buckets, so a group of near copies has the
+same hub in most of them, and every member is compared with the hubs of its
+buckets: a group costs a comparison or so for each member.  Two members x, y of
+a bucket that are in different components after that have a hub h in common,
+whose overlaps with them, i(x) and i(y), are known.  To be linked they need
+
+- an overlap o(x, y) = ceil(percent / (100 + percent) * (n(x) + n(y))) of i(x)
+  and of i(y) at least, or
+- shingles in common that h does not have, the first of which is then among
+  the first n - ceil(percent * n / 100) + 1 of such shingles of both, in any
+  fixed order, with enough of them behind it to reach o(x, y) with i(x), i(y).
+
+Both are joins on keys, with the hub and a class of sizes or with the hub and a
+shingle, of the members outside the hub's component with the others; what they
+find is compared too.  No pair of a bucket is left undecided, and no group of
+any size is gone through pair by pair.
 """
 
 from __future__ import annotations
@@ -20,17 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import discard, stored
 from ._text import U64, _WORD_BASE, list_of, lower_ascii, mix, prefix_hash, ragged, slices, span_hash, table, texts, window_hashes, word_hashes, words
+from ._worker import tidy
 
 SHINGLE_WORDS = 5
 PERCENT = 75
 BANDS = 40
 #: Permutations for each band; each gives a minimum and a maximum.
 PER_BAND = 2
+#: Sizes of one class differ by a twentieth at most.
+CLASS = 1.05
 
 _SALT = U64(0x9E3779B97F4A7C15)
 
@@ -95,92 +108,113 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS, bands: int = BANDS,
                 keys = key.view(np.int64)
             yield table(schema, [batch.column(0), size, *((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums), list_of(keys.ravel(), np.concatenate([np.zeros(1, np.int64), np.cumsum((size > 0) * bands)]), pa.int64())])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """pairs: a, b, text_a, text_b.  Rows (a, b, both, linked): intersection of the full sets; 100 * it >= percent * union."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("linked", pa.bool_())])
+    """pairs: a, b, text_a, text_b.  Rows (a, b, na, nb, both, linked, rest).
+
+    na, nb, both: sizes of the full sets and of their intersection; linked: 100 *
+    both >= percent * union.  rest: the first of those shingles of b that a does
+    not have, as many as a set linked with b must share one of.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("both", pa.int64()), ("linked", pa.bool_()), ("rest", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches, "text_b"):
             hubs, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            n = len(of)
             seen = np.zeros(len(hubs), np.int64)
-            seen[of[::-1]] = np.arange(len(of))[::-1]
+            seen[of[::-1]] = np.arange(n)[::-1]
             left, la = shingles(*texts(batch.column(2).take(pa.array(seen))), width)
             right, rb = shingles(data, offs, width)
             na, nb = np.diff(la)[of], np.diff(rb)
-            pair = np.concatenate([np.repeat(np.arange(len(of)), na), np.repeat(np.arange(len(of)), nb)])
+            pair = np.concatenate([np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)])
             grams = np.concatenate([left[ragged(la[:-1][of], na)], right])
             order = np.argsort(mix(grams + pair.astype(U64) * _SALT), kind="stable")
             same = (grams[order][1:] == grams[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-            both = np.bincount(pair[order][1:][same], minlength=len(of))
-            yield table(schema, [batch.column(0), batch.column(1), both, 100 * both >= percent * (na + nb - both)])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, linked boolean")
-
+            both = np.bincount(pair[order][1:][same], minlength=n)
+            shared = np.zeros(len(grams), bool)
+            shared[order[1:][same]] = True
+            mine = np.flatnonzero(~shared[len(grams) - len(right) :])
+            rest, row = right[mine], np.repeat(np.arange(n), nb)[mine]
+            order = np.lexsort((rest, row))
+            rest, row = rest[order], row[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            few = place < (nb - -(-percent * nb // 100) + 1)[row]
+            yield table(schema, [batch.column(0), batch.column(1), na, nb, both, 100 * both >= percent * (na + nb - both), list_of(rest[few].view(np.int64), np.searchsorted(row[few], np.arange(n + 1)), pa.int64())])
 
-def own_shingles(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, own): shingles of a document that no other of ``docs`` holds."""
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long, na long, nb long, both long, linked boolean, rest array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in slices(batches):
-            grams, first = shingles(data, offs, width)
-            yield table(schema, [batch.column(0), list_of(grams.view(np.int64), first, pa.int64())])
 
-    each = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>").select("doc_id", F.explode("grams").alias("gram"))
-    single = each.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
-    return single.groupBy("doc_id").agg(F.count("*").alias("own"))
+def with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """pairs (a, b) with the texts of both; held: doc_id, text."""
+    right = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return right.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
 
-def undecided(members: DataFrame, looked: DataFrame, labels: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
-    """Members that may still link with another one of their bucket, ranked anew, with their bounds.
-
-    members: bucket, doc_id, n, members, rank, all but the first compared with
-    it.  Adds i (shared with the first; null if their sizes differ too much to
-    have been compared) and s (shared with others, but not with the first, at
-    most): a shingle counts as a member's own only where no first one holds it,
-    or it would be taken off with i and again as own.
-    """
-    rest = members.filter("members > 2 and rank > 1").select("bucket", "doc_id", "n").join(labels, "doc_id")
-    several = rest.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min("n").alias("least")).filter("p < q").select("bucket", "least")
-    heads = members.filter("rank = 1").select("bucket", F.col("doc_id").alias("a"))
-    rest = stored(rest.join(several, "bucket").join(heads, "bucket"), "undecided")
-    compared = rest.select("doc_id").union(rest.select("a")).distinct()
-    own = own_shingles(held.join(compared, "doc_id", "left_semi"), width)
-    rest = rest.join(looked.select("a", F.col("b").alias("doc_id"), F.col("both").alias("i")), ["a", "doc_id"], "left").join(own, "doc_id", "left")
-    rest = rest.withColumn("s", F.col("n") - F.col("i") - F.coalesce("own", F.lit(0)))
-    # with the smallest set of the bucket that its size admits, at best
-    most = F.col("i") + F.col("s")
-    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    possible = F.coalesce(100 * most >= percent * (F.col("n") + other - most), F.lit(True))
-    left = rest.filter(possible).select("bucket", "doc_id", "n", "i", "s")
-    again = left.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    return stored(left.join(again, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))), "members")
-
-
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (doc_id, label) after joining the components of linked documents; a label is its component's smallest one.
+def smallest_reachable(links: DataFrame) -> DataFrame:
+    """(node, root) for every end of a link (a, b): the smallest node of its component.
 
     Smallest labels travel along the links and then along the labels
     themselves, so the number of rounds grows with the logarithm of a
     component's diameter.
     """
-    by = lambda side: labels.select(F.col("doc_id").alias(side), F.col("label").alias(f"of_{side}"))
-    ends = links.join(by("a"), "a").join(by("b"), "b").filter("of_a <> of_b")
-    edges = stored(ends.select(F.col("of_a").alias("x"), F.col("of_b").alias("y")).union(ends.select("of_b", "of_a")).distinct(), "edges")
-    state = stored(edges.select(F.col("x").alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+    edges = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "edges")
+    state = stored(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("near")).select("node", F.least("node", "near").alias("root")), "roots")
     while True:
         near = edges.join(state.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         step = state.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("further"))
         moved = stored(step.join(jump, "next").select("node", F.least("next", "further").alias("root"), (F.least("next", "further") < F.col("root")).alias("moved")), "roots")
-        state = moved.select("node", "root")
+        discard(state)
+        state = moved
         if not moved.filter("moved").take(1):
-            break
-    roots = state.select(F.col("node").alias("label"), "root")
-    return stored(labels.join(roots, "label", "left").select("doc_id", F.coalesce("root", "label").alias("label")), "labels")
+            discard(edges)
+            return moved.select("node", "root")
+
+
+def _class_of(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(CLASS)))
+
+
+def undecided_pairs(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a hub, are in different components, and may be linked for all that is known.
+
+    compared: what ``confirmed`` gives for pairs of a hub a and a member b.
+    """
+    label = F.coalesce("root", "b")
+    members = compared.join(roots.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.col("nb").alias("n"), F.col("both").alias("i"), label.alias("label"), "rest", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("likeness"))
+    counts = members.groupBy("hub", "label").agg(F.count("*").alias("members"))
+    several = counts.groupBy("hub").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("members", -F.col("label"))).alias("main")).filter("labels > 1").select("hub", "main")
+    # two members whose likest hub is the same one are decided there
+    home = members.groupBy("doc").agg(F.max_by("hub", F.struct("likeness", -F.col("hub"))).alias("home"))
+    open_ = stored(members.drop("likeness").join(several, "hub").join(home, "doc"), "open")
+    light = open_.drop("rest")
+    other = lambda df: df.select(*(F.col(c).alias({"hub": "of"}.get(c, c) if c in ("hub", "class", "gram") else f"{c}_y") for c in df.columns if c != "main"))
+    once = (F.col("label_y") == F.col("main")) | (F.col("doc") < F.col("doc_y"))
+    here = (F.col("label") != F.col("label_y")) & once & ((F.col("home") != F.col("home_y")) | (F.col("home") == F.col("hub")))
+    near = F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * percent
+    pair = [F.least("doc", "doc_y").alias("a"), F.greatest("doc", "doc_y").alias("b")]
+
+    # within the hub: an overlap that both have with it
+    enough = lambda n, m, i: (100 + percent) * i >= percent * (n + m)
+    least = F.ceil(F.col("n") * percent / 100)
+    sized = light.filter(enough(F.col("n"), least, F.col("i"))).withColumn("class", _class_of(F.col("n")))
+    reach = F.sequence(_class_of(least) - 1, _class_of(F.col("n") * 100 / percent) + 1)
+    minor = sized.filter("label <> main").withColumn("class", F.explode(reach))
+    minor = minor.filter(enough(F.col("n"), F.floor(F.pow(F.lit(CLASS), F.col("class"))) - 1, F.col("i")))
+    y = other(sized).withColumnRenamed("class", "class_y")
+    inner = minor.join(y, (F.col("hub") == F.col("of")) & (F.col("class") == F.col("class_y")) & here & near & enough(F.col("n"), F.col("n_y"), F.least("i", "i_y"))).select(*pair)
+
+    # beyond the hub: one of the first shingles that it lacks; the first one in common leaves ``left`` more at most
+    grams = open_.select("hub", "doc", "n", "i", "label", "main", "home", F.posexplode("rest").alias("place", "gram")).withColumn("left", F.col("n") - F.col("i") - F.col("place") - 1).drop("place")
+    common = grams.groupBy("hub", "gram").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min("home").alias("h"), F.max("home").alias("k")).filter("p < q and (h < k or h = hub)").select("hub", "gram")
+    grams = grams.join(common, ["hub", "gram"], "left_semi")
+    y = other(grams).withColumnRenamed("gram", "gram_y")
+    possible = enough(F.col("n"), F.col("n_y"), F.least("i", "i_y") + 1 + F.least("left", "left_y"))
+    outer = grams.filter("label <> main").join(y, (F.col("hub") == F.col("of")) & (F.col("gram") == F.col("gram_y")) & here & near & possible).select(*pair)
+    return inner.union(outer).distinct()
 
 
 def components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
@@ -190,48 +224,39 @@ def components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCE
     with equal shingle sets form components, named by their smallest doc_id; kept
     marks that document.  A text without words, or null, is linked with nothing.
     Rows with a null doc_id get a null component and are not kept.  Repeated rows
-    of a doc_id each get their row.  An empty table gives an empty one.
+    of a doc_id each get their row; should their texts differ in their shingles,
+    the greatest text stands for the document.  Texts of any length are compared
+    whole.  An empty table gives an empty one.
     """
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = ["n_shingles", "set_a", "set_b"]
+    keys = ["n_shingles", "set_a", "set_b"]
     signed = stored(signatures(plain, width, bands), "signatures")
+    light = signed.drop("bands")
+    one = light.filter("doc_id is not null").groupBy("doc_id").agg(*(f(c).alias(f"{c}_{k}") for c in keys for k, f in (("p", F.min), ("q", F.max))))
+    if one.filter(" or ".join(f"{c}_p < {c}_q" for c in keys)).take(1):  # one doc_id, several texts
+        whole = components(plain.filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")), width, percent, bands)
+        return light.select("doc_id", "n_shingles").join(whole.drop("n_shingles"), "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    first = stored(full.groupBy(*sets).agg(F.min("doc_id").alias("doc_id")), "sets")
-    each = full.join(first.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    ranked = each.join(shared, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")))
-    members = stored(ranked, "members")
-    labels = stored(members.select("doc_id").distinct().withColumn("label", F.col("doc_id")), "labels")
-    held = stored(plain.join(labels, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    members = members.withColumns({"i": F.lit(None).cast("long"), "s": F.lit(None).cast("long")})
-    done: DataFrame | None = None
-    low, bounds = 1, True
-    while True:  # members of rank low .. 2 * low - 1 are the hubs of this round
-        now = members.filter(F.col("members") > low).join(labels, "doc_id")
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("bucket")
-        now = stored(now.join(open_, "bucket", "left_semi"), "open")
-        if not now.take(1):
-            break
-        hubs = now.filter(F.col("rank").between(low, 2 * low - 1)).select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra"), F.col("i").alias("ia"), F.col("s").alias("sa"))
-        near = (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent) & (F.col("label") != F.col("la")) & (F.col("rank") > F.col("ra"))
-        most = F.least("i", "ia") + F.least("s", "sa")
-        known = F.col("i").isNotNull() & F.col("ia").isNotNull()
-        possible = ~known | (100 * most >= percent * (F.col("n") + F.col("na") - most))
-        met = hubs.withColumnRenamed("bucket", "of").join(now, (F.col("of") == F.col("bucket")) & near & possible)
-        pairs = met.select("a", F.col("doc_id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        looked = stored(confirmed(both, width, percent), "pairs")
-        links = looked.filter("linked").select("a", "b")
-        if links.take(1):
-            labels = merged(labels, links)
-        done = looked.select("a", "b") if done is None else done.union(looked.select("a", "b"))
-        if bounds:  # after the first hubs the members begin anew, without them
-            members, bounds = undecided(members, looked, labels, held, width, percent), False
-        else:
-            low *= 2
-    named = first.join(labels, "doc_id", "left").select(*sets, F.coalesce("label", "doc_id").alias("component"))
-    out = signed.join(named, sets, "left")
+    sets = stored(full.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")), "sets")
+    each = sets.select("doc_id", F.explode("bands").alias("bucket"))
+    sizes = each.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    met = stored(each.join(sizes, "bucket"), "buckets")
+    weight = met.groupBy("doc_id").agg(F.sum("members").alias("weight"))
+    hubs = met.join(weight, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
+    pairs = met.select("bucket", "doc_id").join(hubs, "bucket").filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    held = stored(plain.join(met.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    compared = stored(confirmed(with_texts(pairs, held), width, percent), "compared")
+    roots = smallest_reachable(compared.filter("linked"))
+    more = stored(undecided_pairs(compared, roots, percent), "undecided")
+    links = compared.filter("linked").select("a", "b")
+    if more.take(1):
+        found = stored(confirmed(with_texts(more, held), width, percent).filter("linked").select("a", "b"), "found")
+        if found.take(1):
+            roots = smallest_reachable(links.union(found))
+    discard(met, held, compared)
+    named = sets.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(*keys, F.coalesce("root", "doc_id").alias("component"), "doc_id", "last")
+    named = named.filter("component <> doc_id or doc_id <> last").drop("doc_id", "last")
+    out = light.filter("n_shingles > 0 and doc_id is not null").join(named, keys, "left")
+    out = out.unionByName(light.filter("n_shingles = 0 or doc_id is null").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

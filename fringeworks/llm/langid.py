@@ -1,14 +1,16 @@
 """Language identification by segmentation-marginalised unigrams.
 
 A language is a probability for each piece of a fixed public vocabulary.  The
-probability of a word is the sum over all its segmentations into pieces, found
-by a forward algorithm; a text's is the product over its words.  The piece
+probability of a word, however long, is the sum over all its segmentations into
+pieces of any length, found by a forward algorithm; a text's is the product over
+its words.  The piece
 probabilities are fitted by expectation maximisation (forward-backward) on a
 bounded sample of labelled documents, one Spark task for each language.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,41 +19,47 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import U64, list_of, lower_ascii, slices, table, texts, words
+from ._text import U64, list_of, lower_ascii, slices, table, words
 from ._units import tokenizer_path
+from ._worker import held, rest, tidy
 
 #: Labelled documents of each language that the fit reads at most, those with the smallest hashes of their ids.
 FIT_DOCUMENTS = 1500
-#: Characters of the longest piece, and of the parts in which longer words are scored.
-LONGEST_PIECE = 8
-LONGEST_WORD = 30
 ROUNDS = 3
 #: Probability of a character that is no piece, the same in every language.
 UNKNOWN = 1e-7
+#: Words of more characters are summed in blocks of so many; the fit learns from parts of so many at most.
+BLOCK = 64
+#: Sums are held times this for each character, so that those of a block stay within the range of doubles.
+SCALE = 1e4
 _WORD_START = "▁"
 _CHAR_BASE = U64(0x8CB92BA72F3D8DD7)
-#: Words whose scores a task remembers.
-REMEMBERED = 300_000
+#: No character: stands behind the end of a word.
+_NONE = U64(0x110000)
+#: Words whose scores a worker remembers.
+REMEMBERED = 200_000
 
 
 class Pieces:
-    """The vocabulary as a sorted table of hashes; looks up all parts of many words at once."""
+    """The vocabulary, and the beginnings of its pieces, as a sorted table of hashes."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(path))
         names = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        self.names = sorted({x.lower() for x in names if len(x) <= LONGEST_PIECE})
-        hashes = self._hash(self.names)
+        self.names = sorted({x.lower() for x in names})
+        self.size, self.longest = len(self.names), max(map(len, self.names))
+        slot = {x: i for i, x in enumerate(self.names)}
+        every = sorted({x[:k] for x in self.names for k in range(1, len(x) + 1)})
+        hashes = self._hash(every)
         order = np.argsort(hashes)
-        self.hashes, self.slot = hashes[order], order
-        self.size = len(self.names)
+        self.hashes, self.slot = hashes[order], np.array([slot.get(x, -1) for x in every])[order]
 
     @staticmethod
     def codes(words: list[str], width: int) -> np.ndarray:
         """Code points, one row for each word of exactly ``width`` characters."""
-        return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), width).astype(U64)
+        return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width).astype(U64)
 
     def _hash(self, names: list[str]) -> np.ndarray:
         out = np.zeros(len(names), U64)
@@ -64,28 +72,26 @@ class Pieces:
             out[rows] = value
         return out
 
-    def parts(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(end, length) -> for each word the piece that is this part of it, or ``size`` if none is."""
-        out, width = {}, codes.shape[1]
-        for begin in range(width):
-            value = np.zeros(len(codes), U64)
-            for end in range(begin + 1, min(width, begin + LONGEST_PIECE) + 1):
-                value = value * _CHAR_BASE + codes[:, end - 1] + U64(1)
-                at = np.minimum(np.searchsorted(self.hashes, value), self.size - 1)
-                piece = np.where(self.hashes[at] == value, self.slot[at], self.size)
-                out[end, end - begin] = piece
+    def parts(self, codes: np.ndarray, begins: int | None = None) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, rows, pieces): which words have a piece there, and which; ``size`` for a character that is none."""
+        out, width = [], codes.shape[1]
+        for begin in range(width if begins is None else begins):
+            rows, value = np.arange(len(codes)), np.zeros(len(codes), U64)
+            for end in range(begin + 1, min(width, begin + self.longest) + 1):
+                value = value * _CHAR_BASE + codes[rows, end - 1] + U64(1)
+                at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
+                known = self.hashes[at] == value
+                piece = np.where(known, self.slot[at], -1)
+                if end == begin + 1:
+                    out.append((begin, end, rows, np.where(piece < 0, self.size, piece)))
+                elif (hit := piece >= 0).any():
+                    out.append((begin, end, rows[hit], piece[hit]))
+                rows, value = rows[known], value[known]
+                if not len(rows):
+                    break
         return out
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
-def pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
-
-
 def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words grouped by their length: their indices, and their code points after the mark of a word's start."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -94,58 +100,112 @@ def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, Pieces.codes([_WORD_START + words[i] for i in rows], int(n) + 1)
 
 
-def forward(parts: dict, width: int, probability: np.ndarray) -> np.ndarray:
-    """alpha[j] (words, languages): probability of the first j characters, over all segmentations."""
-    some = parts[1, 1]
-    alpha = np.zeros((width + 1, len(some), probability.shape[1]))
+def forward(parts: list, width: int, probability: np.ndarray) -> np.ndarray:
+    """alpha[j] (words, languages): probability of the first j characters, over all segmentations, times SCALE**j.
+
+    probability: a row for each piece, and one more for characters that are none.
+    """
+    alpha = np.zeros((width + 1, len(parts[0][2]), probability.shape[1]))
     alpha[0] = 1
-    for end in range(1, width + 1):
-        for length in range(1, min(end, LONGEST_PIECE) + 1):
-            piece = parts[end, length]
-            p = probability[piece]
-            if length == 1:
-                p[piece == len(probability) - 1] = UNKNOWN
-            elif not (piece < len(probability) - 1).any():
-                continue
-            alpha[end] += alpha[end - length] * p
+    scaled = {n: probability * SCALE**n for n in {end - begin for begin, end, *_ in parts}}
+    for begin, end, rows, piece in parts:
+        alpha[end, rows] += alpha[begin, rows] * scaled[end - begin][piece]
     return alpha
 
 
+def log_of_word(table_of: Pieces, codes: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of one word of any length, in each language.
+
+    What reaches the first ``longest`` places of a block makes what reaches those
+    of the next one, by a matrix that is found for many blocks at once.
+    """
+    n, reach, langs = len(codes), table_of.longest, probability.shape[1]
+    blocks = -(-n // BLOCK)
+    padded = np.concatenate([codes, np.full(blocks * BLOCK + reach - n, _NONE, U64)])
+    scaled = [probability * SCALE**k for k in range(reach + 1)]
+    state, log = np.zeros((reach, langs)), np.zeros(langs)
+    state[0] = 1
+    for some in np.array_split(np.arange(blocks), 1 + blocks * (BLOCK + reach) * reach * langs // (2 << 20)):
+        at = np.zeros((BLOCK + reach, len(some), reach, langs))
+        for k in range(reach):
+            at[k, :, k] = 1
+        window = padded[some[:, None] * BLOCK + np.arange(BLOCK + reach)]
+        for begin, end, rows, piece in table_of.parts(window, BLOCK):
+            at[end, rows] += at[begin, rows] * scaled[end - begin][piece][:, None]
+        for k, block in enumerate(some):
+            if block == blocks - 1:
+                last = (state * at[n - block * BLOCK, k]).sum(0)
+                return log + np.log(np.maximum(last, 1e-300)) - n * np.log(SCALE)
+            state = np.einsum("kl,jkl->jl", state, at[BLOCK:, k])
+            most = np.maximum(state.max(0), 1e-300)
+            state /= most
+            log += np.log(most)
+    raise AssertionError("a word has a last block")
+
+
 def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language, by expectation maximisation over the counted words."""
     table_of = pieces(path)
     size = table_of.size
     groups = [(counts[rows].astype(float), codes.shape[1], table_of.parts(codes)) for rows, codes in by_width(words)]
-    probability = np.append(np.full(size, 1 / size), 0.0)
+    probability = np.append(np.full(size, 1 / size), UNKNOWN)
     for _ in range(rounds):
         expected = np.zeros(size + 1)
         for n, width, parts in groups:
             alpha = forward(parts, width, probability[:, None])[:, :, 0]
             beta = np.zeros_like(alpha)
             beta[width] = 1
-            for end in range(width, 0, -1):
-                for length in range(1, min(end, LONGEST_PIECE) + 1):
-                    piece = parts[end, length]
-                    p = probability[piece]
-                    if length == 1:
-                        p = np.where(piece == size, UNKNOWN, p)
-                    beta[end - length] += beta[end] * p
             scale = n / np.maximum(alpha[width], 1e-300)
-            for (end, length), piece in parts.items():
-                expected += np.bincount(piece, alpha[end - length] * beta[end] * scale * probability[piece], size + 1)
-        expected[size] = 0
+            for begin, end, rows, piece in reversed(parts):
+                through = beta[end, rows] * probability[piece] * SCALE ** (end - begin)
+                beta[begin, rows] += through
+                expected += np.bincount(piece, alpha[begin, rows] * through * scale[rows], size + 1)
         smooth = expected[:size] + 0.05
         probability[:size] = smooth / smooth.sum()
     return probability[:size]
 
 
-def scored_words(words: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Lower-case words cut into parts of at most LONGEST_WORD characters, and the word of each part."""
-    names = pc.utf8_lower(words).to_pylist()
-    if max(map(len, names), default=0) <= LONGEST_WORD:
-        return names, np.arange(len(names))
-    out = [(x[k : k + LONGEST_WORD], i) for i, x in enumerate(names) for k in range(0, len(x), LONGEST_WORD)]
-    return [x for x, _ in out], np.array([i for _, i in out])
+def pieces(path: str) -> Pieces:
+    """The vocabulary of a file, which a Python worker keeps from task to task."""
+    return held(("pieces", path), lambda: Pieces(path))
+
+
+class Scorer:
+    """A model in a worker: logarithms of the probabilities of words in each language, and those met so far."""
+
+    def __init__(self, vocabulary: str, probability: np.ndarray):
+        self.pieces, self.probability = Pieces(vocabulary), probability
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1 << 12, self.probability.shape[1]))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """(words, languages)"""
+        out = np.zeros((len(words), self.probability.shape[1]))
+        for at, codes in by_width(words):
+            if codes.shape[1] > BLOCK:
+                out[at] = [log_of_word(self.pieces, x, self.probability) for x in codes]
+            else:
+                out[at] = np.log(np.maximum(forward(self.pieces.parts(codes), codes.shape[1], self.probability)[-1], 1e-300)) - codes.shape[1] * np.log(SCALE)
+        return out
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The same for distinct words, by memory; only words within a block are remembered."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        k = len(self.known)
+        new = [x for x in words if x not in self.known and len(x) < BLOCK]
+        while k + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if new:
+            self.rows[k : k + len(new)] = self.of(pc.utf8_lower(pa.array(new, pa.string())).to_pylist())
+        self.known.update(zip(new, range(k, k + len(new)), strict=True))
+        out = self.rows[np.fromiter((self.known.get(x, 0) for x in words), np.int64, len(words))]
+        if long_ := [i for i, x in enumerate(words) if len(x) >= BLOCK]:
+            out[long_] = self.of(pc.utf8_lower(pa.array([words[i] for i in long_], pa.string())).to_pylist())
+        return out
 
 
 def _coded(data: np.ndarray, offs: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -164,10 +224,13 @@ def fit(labelled: DataFrame, vocabulary: str = "piece_bpe_32k.model", fit_docume
     Reads at most ``fit_documents`` documents of a language.  The result has one
     number for each language and piece of the vocabulary.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = labelled.filter("lang is not null and text is not null and doc_id is not null")
-    chosen = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_documents).select("doc_id", "lang")
-    sample = known.join(chosen, ["doc_id", "lang"], "left_semi")
+    known = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("documents"))
+    # of each language a fifth more than are wanted by their hashes, and of these few the first
+    share = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(1 << 62)).alias("share")
+    few = known.withColumn("share", share).join(sizes, "lang").filter(F.col("share") * F.col("documents") <= 1.2 * fit_documents + 30)
+    order = Window.partitionBy("lang").orderBy("share", "doc_id")
+    sample = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_documents).select("lang", "text")
     counted = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +243,15 @@ def fit(labelled: DataFrame, vocabulary: str = "piece_bpe_32k.model", fit_docume
             key, n = np.unique(of * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
             yield table(counted, [langs.dictionary.take(pa.array(key // len(coded.dictionary))), coded.dictionary.take(pa.array(key % len(coded.dictionary))), n])
 
-    per_word = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    per_word = sample.mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     fitted = pa.schema([("lang", pa.string()), ("probability", pa.list_(pa.float64()))])
 
     def learn(rows: pa.Table) -> pa.Table:
         lang = rows.column("lang")[0].as_py()
-        names, of = scored_words(rows.column("word").combine_chunks())
-        p = fit_pieces(names, rows.column("n").to_numpy()[of], vocabulary)
+        words, counts = pc.utf8_lower(rows.column("word").combine_chunks()).to_pylist(), rows.column("n").to_numpy()
+        parts = [(x[k : k + BLOCK - 1], n) for x, n in zip(words, counts, strict=True) for k in range(0, len(x), BLOCK - 1)]
+        p = fit_pieces([x for x, _ in parts], np.array([n for _, n in parts]), vocabulary)
+        rest()
         return pa.Table.from_batches([table(fitted, [[lang], list_of(p, np.array([0, len(p)]), pa.float64())])])
 
     rows = per_word.groupBy("lang").applyInArrow(learn, "lang string, probability array<double>").collect()
@@ -199,38 +264,23 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: str = "pi
     score: probability of the predicted language under equal priors, by the
     mean over the words of the text, so that long texts do not all score 1.
     ``und`` with score 0 for a null text, one without a letter, or no language
-    learned.  Of equal scores the first language in order of names wins.
+    learned.  Of equal scores the first language in order of names wins.  Texts
+    and words of any length are scored whole.
     """
     names = sorted(model)
     # languages side by side; the last row is for parts that are no piece
     size = len(model[names[0]]) if names else 0
-    probability = np.zeros((size + 1, len(names)))
+    probability = np.full((size + 1, len(names)), UNKNOWN)
     for k, name in enumerate(names):
         probability[:size, k] = model[name]
     shared = docs.sparkSession.sparkContext.broadcast(probability)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*rest)
+    key = ("language", uuid.uuid4().hex)
+    rest_ = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    docs = docs.select(*rest_)
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        rows = np.zeros((1 << 12, max(1, len(names))))
-
-        def learn(new: list[str]) -> None:
-            nonlocal rows
-            parts, of = scored_words(pa.array(new, pa.string()))
-            value = np.zeros((len(parts), len(names)))
-            for at, codes in by_width(parts):
-                alpha = forward(pieces(vocabulary).parts(codes), codes.shape[1], shared.value)
-                value[at] = np.log(np.maximum(alpha[-1], 1e-300))
-            total = np.zeros((len(new), len(names)))
-            np.add.at(total, of, value)
-            k = len(known)
-            while k + len(new) > len(rows):
-                rows = np.concatenate([rows, np.zeros_like(rows)])
-            rows[k : k + len(new)] = total
-            known.update(zip(new, range(k, k + len(new)), strict=True))
-
+        scorer = held(key, lambda: Scorer(vocabulary, shared.value)) if names else None
         for batch, data, offs in slices(batches):
             n = len(offs) - 1
             letter = np.zeros(n, bool)
@@ -241,20 +291,16 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: str = "pi
             best, score = np.full(n, -1), np.zeros(n)
             coded, first = _coded(data, offs)
             if len(coded) and names:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                own = coded.dictionary.to_pylist()
-                learn([x for x in own if x not in known])
-                slot = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-                total = np.concatenate([np.zeros((1, len(names))), np.cumsum(rows[slot[coded.indices.to_numpy()]], axis=0)])
+                word = scorer.scores(coded.dictionary.to_pylist())
+                total = np.concatenate([np.zeros((1, len(names))), np.cumsum(word[coded.indices.to_numpy()], axis=0)])
                 logs = (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
                 odds = np.exp(logs - logs.max(axis=1, keepdims=True))
                 best = np.where(letter, odds.argmax(axis=1), -1)
                 score = np.where(letter, odds.max(axis=1) / odds.sum(axis=1), 0.0)
             pred = pa.array([names[b] if b >= 0 else "und" for b in best], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pred, pa.array(score, pa.float64())], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pred, pa.array(score, pa.float64())], names=[*rest_, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def training_part(doc_id: str = "doc_id", parts: int = 4, held_out: int = 2):

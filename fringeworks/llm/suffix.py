@@ -6,7 +6,8 @@ anchors at the same place, so only suffixes that begin at anchors of equal grams
 are compared, about one in 185 for strings of 400 bytes.  The surroundings of an
 anchor are the bytes of the strings whose anchor it is.
 
-Anchors with equal surroundings form a class, counted in Spark by hashes alone.
+Anchors with equal grams and surroundings form a class; the 64-bit hashes of both
+must be equal, and members of a class are not compared byte by byte.
 Of a window around an anchor half its bytes at least stand before the anchor or
 from it on, so a class matters to others only if they share that half; of those
 classes one surrounding each goes to a task that
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._text import U64, _BYTE, binary_of, byte_prefix, list_of, mix, powers, ragged, runs, slices, slide, span_hash, table
+from ._text import _BYTE, U64, binary_of, byte_prefix, list_of, mix, powers, ragged, runs, slices, slide, span_hash, table
+from ._worker import tidy
 
 WIDTH = 400
 GRAM = 32
 #: One gram in so many is looked at first when anchors are sought.
 FEW = 16
-#: Classes of one gram that a task sorts at most; grams with more go another way, also exact.
+#: Classes of one gram that a task sorts at most, which bounds its memory; those of a gram with more are spread over all tasks
+#: by the hashes of their windows, with the same result.
 SORTED_CLASSES = 32768
 #: Classes that a task sorts together, unless one gram has more.
 TOGETHER = 2048
@@ -314,14 +317,20 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     kind = "doc_id long, anchors array<struct<pos:int,gram:long,around:long,lo:short,hi:short,ahead:long,behind:long>>"
-    light = stored(plain.filter("doc_id is not null").mapInArrow(find, kind), "anchors").select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.*")
+    light = stored(plain.filter("doc_id is not null").mapInArrow(tidy(find), kind), "anchors").select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.*")
     sized = light.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("one"), F.min("ahead").alias("ahead"), F.min("behind").alias("behind"))
     grams = sized.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("classes")).filter("all > 1")
     classes = stored(sized.join(grams.select("gram", "classes"), "gram").select("gram", "around", "n", "classes", "one.*", "ahead", "behind"), "classes")
     # classes that share half a window with another class
     multiple = classes.filter("classes > 1")
-    shared = lambda half: multiple.groupBy(half).count().filter(F.col(half).isNotNull() & (F.col("count") > 1)).select(half, F.lit(True).alias(f"{half}_shared"))
-    sharing = multiple.join(shared("ahead"), "ahead", "left").join(shared("behind"), "behind", "left").filter("ahead_shared or behind_shared").select("gram", "around", "n", "doc_id", "pos", "lo", "hi")
+    columns = ["gram", "around", "n", "doc_id", "pos", "lo", "hi"]
+
+    def with_others(half: str) -> DataFrame:
+        whole = multiple.filter(F.col(half).isNotNull())  # a text may end before the half does
+        shared = whole.groupBy(half).agg(F.count("*").alias("sharing")).filter("sharing > 1").select(half)
+        return whole.join(shared, half, "left_semi").select(*columns)
+
+    sharing = with_others("ahead").union(with_others("behind")).distinct()
     again = sharing.groupBy("gram").agg(F.count("*").alias("classes")).filter("classes > 1")
     compared = stored(sharing.join(again, "gram"), "compared")
 
@@ -340,7 +349,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             yield table(shown, [x.field(1), x.field(2), get(3) > 1, x.field(4), lo.astype(np.int32), binary_of(data[ragged(pos - lo, size)], np.concatenate([np.zeros(1, np.int64), np.cumsum(size)]))])
 
     texts = plain.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
-    contexts = texts.mapInArrow(show, "gram long, around long, several boolean, classes long, lo int, bytes binary")
+    contexts = texts.mapInArrow(tidy(show), "gram long, around long, several boolean, classes long, lo int, bytes binary")
     out = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
     result = "gram long, around long, before int, after int"
 
@@ -363,7 +372,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         hit = both[:, 0] >= 0
         return pa.Table.from_batches([table(out, [gram_[hit], around_[hit], both[hit, 0].astype(np.int32), both[hit, 1].astype(np.int32)])])
 
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), compared.count() // TOGETHER)
     sortable = contexts.filter(F.col("classes") <= SORTED_CLASSES).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
     sorted_ = sortable.groupBy("bucket").applyInArrow(sort, result)
     hot = _hot_extents(contexts.filter(F.col("classes") > SORTED_CLASSES), width, buckets)
@@ -414,7 +423,7 @@ def _hot_extents(contexts: DataFrame, width: int, buckets: int) -> DataFrame:
         some = np.flatnonzero(high >= 0)
         return pa.Table.from_batches([table(out, [rows.column("gram").to_numpy()[some], rows.column("around").to_numpy()[some], low[some].astype(np.int32), high[some].astype(np.int32)])])
 
-    rows = contexts.mapInArrow(spread, "bucket int, gram long, around long, offsets array<short>, hashes array<long>")
+    rows = contexts.mapInArrow(tidy(spread), "bucket int, gram long, around long, offsets array<short>, hashes array<long>")
     found = rows.groupBy("bucket").applyInArrow(count, "gram long, around long, low int, high int")
     return found.groupBy("gram", "around").agg(F.max("high").alias("before"), (F.lit(width) - F.min("low")).cast("int").alias("after"))
 
@@ -451,4 +460,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             yield table(schema, [batch.column(0), np.diff(offs), cells, binary_of(data[~gone], kept)])
 
     joined = plain.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "hits")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return joined.mapInArrow(tidy(cut), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

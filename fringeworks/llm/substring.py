@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import _WORD_BASE, U64, binary_of, list_of, mix, prefix_hash, ragged, runs, slices, slide, span_hash, table, window_hashes, word_hashes, words
+from ._text import _WORD_BASE, U64, binary_of, bytes_of, list_of, mix, prefix_hash, ragged, runs, slices, slide, span_hash, table, window_hashes, word_hashes, words
+from ._worker import tidy
 
 WIDTH = 50
 #: Slices of text that form a block.
 BLOCK_SLICES = 4
-#: Buckets for each shuffle partition.
+#: Buckets for each shuffle partition at least, and bytes of text for each at most.
 BUCKETS = 8
+BUCKET_BYTES = 2 << 20
 #: Words of the sequences of which a window's smallest names its bucket.
 GRAM_WORDS = 5
 
@@ -88,7 +90,7 @@ def _smaller_elsewhere(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
     """Rows (doc_id, at): the first words of windows that a document with a smaller id holds too; some rows for each document."""
-    n = buckets or BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bytes_of(docs) // BUCKET_BYTES)
 
     def block(held: list[tuple[np.ndarray, ...]], turn: int) -> Iterator[pa.RecordBatch]:
         hashes, doc, at, name = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -127,7 +129,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, buckets: int | None =
         new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
         return pa.Table.from_batches([table(_HITS, [doc[new], list_of(at.astype(np.int32), np.append(new, len(doc)), pa.int32())])])
 
-    rows = docs.filter("doc_id is not null").mapInArrow(hashed, "bucket int, docs binary, counts binary, gaps binary, hashes binary")
+    rows = docs.filter("doc_id is not null").mapInArrow(tidy(hashed), "bucket int, docs binary, counts binary, gaps binary, hashes binary")
     return rows.groupBy("bucket").applyInArrow(settle, "doc_id long, at array<int>")
 
 
@@ -176,4 +178,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield table(schema, [batch.column(0), np.diff(first), spans, binary_of(out[drop], bounds).cast(pa.string())])
 
     joined = plain.join(hits.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "at")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept_text string")
+    return joined.mapInArrow(tidy(cut), "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept_text string")

@@ -187,6 +187,7 @@ def read_bundles(places: DataFrame, folder: str) -> DataFrame:
                         yield table(_READ, [list(x) for x in zip(*rows, strict=True)])
 
     bundles = places.select("bundle").distinct()
+    bundles = bundles.repartition(max(1, bundles.count()))  # a task for each bundle, or nearly so
     return bundles.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, whole boolean")
 
 
@@ -211,8 +212,9 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) ->
     pages: page_id, url, html; other columns are ignored.  A null html is an
     empty payload, and a null url leaves the header out.  Rows with a null
     page_id are left out, as a record needs its id.  A repeated page_id gives
-    repeated records; they revisit a larger page_id of the same payload, or else
-    are all responses.  An empty table gives no bundles and no records.
+    repeated records under one record id; they revisit a larger page_id of the
+    same payload, or else are all responses.  WARC-Payload-Length, which readers
+    of WARC/1.1 ignore, is an extension: a revisit has no payload to measure.  An empty table gives no bundles and no records.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     plain = pages.select(F.col("page_id").cast("long"), "url", "html").filter("page_id is not null")

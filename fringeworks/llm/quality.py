@@ -2,9 +2,8 @@
 
 Each line is normalised (ASCII letters lowered, words joined by one space) and
 hashed; for each host the distinct documents that hold it are counted; lines
-above the limits go, and a document that keeps too little of itself is
-rejected.  Byte-equal texts of a host count as one document, since copies are
-a matter of de-duplication and no sign of boilerplate.
+above the limit go, and a document that keeps too little of itself is rejected.
+The limit is a number of documents, whatever the size of the host.
 """
 
 from __future__ import annotations
@@ -18,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._text import U64, _SPACE, byte_prefix, list_of, lower_ascii, mix, prefix_hash, ragged, slices, span_hash, table, window_hashes, word_hashes, words
+from ._text import _SPACE, U64, byte_prefix, list_of, lower_ascii, mix, prefix_hash, ragged, slices, span_hash, table, window_hashes, word_hashes, words
+from ._worker import tidy
 
-#: A line is removed if more documents of its host hold it than both of these allow.
-MIN_DOCUMENTS = 20
-HOST_SHARE = 0.1
+#: A line is removed if more documents of its host hold it.
+MAX_DOCUMENTS = 50
 #: A document is depleted if it keeps a smaller share of its words.
-KEPT_SHARE = 0.3
+KEPT_SHARE = 0.4
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
@@ -32,7 +31,7 @@ REPEAT_WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-_STATS = "row long, doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+_STATS = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def _per_text(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -54,7 +53,7 @@ def _seen_before(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.n
 
 def text_statistics(docs: DataFrame) -> DataFrame:
     """One row for each document: the base counts, and its normalised lines with their numbers of words."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -90,27 +89,29 @@ def text_statistics(docs: DataFrame) -> DataFrame:
             count = lambda m, k: np.bincount(k[m], minlength=n).astype(np.int64)
             lines = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(of_line, minlength=n))])
             yield table(schema, [
-                row + np.arange(n), batch.column(0), batch.column(1), mix(span_hash(prefix, offs[:-1], offs[1:]) + np.diff(offs).astype(U64)).view(np.int64), n_words,
+                row + np.arange(n), batch.column(0), batch.column(1), n_words,
                 _per_text(~_SPACE[data] & ((data & 0xC0) != 0x80), offs), _per_text(_SYMBOL[data], offs),
                 count(repeated, of_line), count(repeats, of_word), list_of(normal.view(np.int64), lines, pa.int64()), list_of((w1 - w0).astype(np.int32), lines, pa.int32()),
             ])
             row += n
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("host"), "text").mapInArrow(run, _STATS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("host"), "text").mapInArrow(tidy(run), _STATS)
 
 
-def quality(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:
+def quality(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, kept_share: float = KEPT_SHARE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept.
 
     docs: doc_id, text, source (the host); other columns are ignored.  A null or
     empty text has no words, so it fails the base rules; null hosts form one
-    host.  Repeated rows each get their row.  An empty table gives an empty one.
+    host.  Rows with a null doc_id are one document each.  Repeated rows each get
+    their row and count as one document.  Texts of any length are gone through
+    whole.  An empty table gives an empty one.  Counts of a line are summed before
+    they are shuffled; the join with the lines above the limit is one that Spark
+    can split where a line is very common.
     """
     stats = stored(text_statistics(docs), "statistics").withColumn("host", F.struct(F.col("host").isNull().alias("none"), F.coalesce("host", F.lit("")).alias("name")))
-    sizes = stats.groupBy("host").agg(F.countDistinct("text_hash").alias("documents"))
-    held = stats.select("host", "text_hash", F.explode(F.array_distinct("lines")).alias("line"))
-    frequent = held.groupBy("host", "line").agg(F.countDistinct("text_hash").alias("n")).filter(F.col("n") > min_documents)
-    above = frequent.join(sizes, "host").filter(F.col("n") > F.col("documents") * host_share).select("host", "line")
+    held = stats.select("host", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "row").alias("id")).alias("document"), F.explode(F.array_distinct("lines")).alias("line"))
+    above = held.groupBy("host", "line").agg(F.countDistinct("document").alias("n")).filter(F.col("n") > max_documents).select("host", "line")
     each = stats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     removed = each.join(above, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").alias("n_removed_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

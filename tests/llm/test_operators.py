@@ -154,15 +154,43 @@ def test_base_statistics(spark):
         assert not (failed and x.kept)
 
 
-def test_frequent_lines_deplete(spark):
+def brute_failed(text):
+    w = WORD.findall(text or "")
+    grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    hit = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(8)}
+    return len(w) < 20 or 100 * len(hit) > 30 * len(w)
+
+
+def brute_verdict(rows, limit, share):
+    """(n_removed_words, enough) of rows (doc_id, text, host), by sets of documents."""
+    lines = lambda t: [(re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(WORD.findall(x))), len(WORD.findall(x))) for x in (t or "").split("\n") if WORD.search(x)]
+    held = {}
+    for k, (i, t, host) in enumerate(rows):
+        for x, _ in lines(t):
+            held.setdefault((host, x), set()).add(("row", k) if i is None else i)
+    out = []
+    for _, t, host in rows:
+        n, gone = sum(m for _, m in lines(t)), sum(m for x, m in lines(t) if len(held[host, x]) > limit)
+        out.append((gone, n - gone >= n * share))
+    return out
+
+
+def test_line_verdicts(spark):
     r = random.Random(0)
-    own = lambda: " ".join(str(r.random()) for _ in range(25))
-    notice = "all rights   RESERVED to the owners of this fine site and its many pages as stated in the terms of use that follow below"
-    texts = [f"{notice}\n{own()}" for _ in range(40)] + [notice.lower() + "\nfew words"] + [own() for _ in range(40)]
-    rows = [(i, t, "en", "host", 0, "", 0, 0) for i, t in enumerate(texts)]
-    got = result(quality.quality(spark.createDataFrame(rows, SCHEMA)))
-    assert [i for i, x in got.items() if not x.kept] == [40]
-    assert got[0].n_removed_words == len(notice.split())
+    own = lambda n: " ".join(str(r.random()) for _ in range(n))
+    stock = [own(r.randint(1, 9)).upper() + " The End" for _ in range(12)]
+    rows = []
+    for i in range(400):
+        body = [r.choice(stock).lower() if r.random() < 0.5 else r.choice(stock) for _ in range(r.randint(0, 5))] + [own(r.randint(1, 30))]
+        r.shuffle(body)
+        rows.append((None if i % 50 == 7 else i // 2 if i % 9 == 0 else i, "\n".join(body), r.choice(["a", "b", None])))
+    rows += [rows[3], rows[3], (900, None, "a"), (901, "", "a")]
+    df = spark.createDataFrame([(i, t, "en", h, 0, "", 0, 0) for i, t, h in rows], SCHEMA)
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.n_words, x.n_removed_words, x.base_failed, x.kept) for x in quality.quality(df, max_documents=9, kept_share=0.6).collect())
+    verdicts = zip(rows, brute_verdict(rows, 9, 0.6), strict=True)
+    want = sorted((i is None, i or 0, len(WORD.findall(t or "")), gone, brute_failed(t), enough and not brute_failed(t)) for (i, t, _), (gone, enough) in verdicts)
+    assert got == want
+    assert sum(not x[-1] and not x[-2] for x in want) > 10
 
 
 def brute_windows(texts, width):
@@ -323,19 +351,23 @@ def test_language(spark):
 
 
 def test_forward_sums_all_segmentations():
-    p = langid.pieces("piece_bpe_32k.model")
-    word = "▁than"
-    prob = np.zeros((p.size + 1, 1))
-    prob[: p.size, 0] = np.linspace(0.1, 0.9, p.size)
-    known = {n: prob[i, 0] for i, n in enumerate(p.names)}
-
-    def total(rest):
-        if not rest:
-            return 1.0
-        return sum((known[rest[:k]] if rest[:k] in known else langid.UNKNOWN if k == 1 else 0.0) * total(rest[k:]) for k in range(1, min(len(rest), langid.LONGEST_PIECE) + 1))
-
-    codes = langid.Pieces.codes([word], len(word))
-    assert np.isclose(langid.forward(p.parts(codes), len(word), prob)[-1][0, 0], total(word))
+    p = langid.Pieces("piece_bpe_32k.model")
+    r = np.random.default_rng(0)
+    prob = np.concatenate([r.uniform(1e-4, 1e-2, (p.size, 2)), np.full((1, 2), langid.UNKNOWN)])
+    known = {n: prob[i] for i, n in enumerate(p.names)}
+    scorer = langid.Scorer("piece_bpe_32k.model", prob)
+
+    def log_total(word):  # one place after the other, in logarithms
+        logs = [np.zeros(2)]
+        for end in range(1, len(word) + 1):
+            ways = [logs[k] + np.log(known.get(word[k:end], prob[-1])) for k in range(max(0, end - p.longest), end) if end - k == 1 or word[k:end] in known]
+            logs.append(np.logaddexp.reduce(ways))
+        return logs[-1]
+
+    words = ["than", "a", "internationalization", "x\u4e2d" * 9, "thisisalongwordwithoutanyspace" * 11, "\u4e2d" * 200, "t" * 63, "t" * 64, "ing" * 43]
+    assert p.longest > 8
+    assert np.allclose(scorer.scores(words), [log_total("▁" + w) for w in words])
+    assert np.array_equal(scorer.scores(words[::-1]), scorer.scores(words)[::-1])
 
 
 def test_empty_tables(spark):

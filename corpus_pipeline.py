@@ -19,7 +19,8 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language: without a letter, or of an uncertain one."""
+    """Rejects documents of no language, without a letter or of an uncertain one, and rows without a doc_id."""
+    docs = docs.filter("doc_id is not null")
     labelled = docs.select("doc_id", "text", "lang").filter(~langid.training_part())
     model = langid.fit(labelled)
     named = langid.predict(docs.select(*COLUMNS), model)
@@ -27,15 +28,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base rules or are depleted of lines of their own; rows need a doc_id from here on."""
-    kept = quality.quality(docs).filter("kept").select("doc_id").distinct()
+    """Rejects documents that fail the base rules or are depleted of lines of their own; of repeated rows all go if one fails."""
+    kept = quality.quality(docs).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select("doc_id")
     return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component, once."""
+    """Keeps the document with the smallest id of each component, once: of repeated rows the one with the greatest text."""
     kept = minhash.components(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    return rows.groupBy("doc_id").agg(F.max(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,14 +299,18 @@ _CPHASE = PHASE.replace("u * l", "u * cl").replace("v * m", "v * cm").replace("l
 MODEL = f"{_COMPS}, placed AS (SELECT (cx - {NX // 2}) * {CELL!r} AS cl, (cy - {NX // 2}) * {CELL!r} AS cm, flux FROM comps)"
 
 
-@query(f"{W}, {MODEL} SELECT row_id, round(sum(flux * cos{_CPHASE}), 6) + 0 AS p_re, round(-sum(flux * sin{_CPHASE}), 6) + 0 AS p_im FROM vis, placed GROUP BY row_id")
+# row_id repeats where two lines of an order have one number, so samples are numbered here
+_SAMPLES = "samples AS (SELECT *, row_number() OVER () AS sample FROM vis)"
+
+
+@query(f"{W}, {MODEL}, {_SAMPLES} SELECT any_value(row_id) AS row_id, round(sum(flux * cos{_CPHASE}), 6) + 0 AS p_re, round(-sum(flux * sin{_CPHASE}), 6) + 0 AS p_im FROM samples, placed GROUP BY sample")
 def predict_components(spark, sf_dir):
     comps = spark.createDataFrame(COMPONENTS, "x int, y int, value double")
     return rounded(imaging.predict(vis_of(spark, sf_dir).select("row_id", "u", "v", "w", "freq"), comps, NX, NX, CELL).select("row_id", "p_re", "p_im"), "row_id")
 
 
-@query(f"""{W}, {MODEL}, {PIXELS}, p AS (SELECT row_id, any_value(u) AS u, any_value(v) AS v, any_value(w) AS w, any_value(freq) AS freq, any_value(weight) AS weight,
-    any_value(re) - sum(flux * cos{_CPHASE}) AS re, any_value(im) + sum(flux * sin{_CPHASE}) AS im FROM vis, placed WHERE NOT flag GROUP BY row_id)
+@query(f"""{W}, {MODEL}, {PIXELS}, {_SAMPLES}, p AS (SELECT any_value(u) AS u, any_value(v) AS v, any_value(w) AS w, any_value(freq) AS freq, any_value(weight) AS weight,
+    any_value(re) - sum(flux * cos{_CPHASE}) AS re, any_value(im) + sum(flux * sin{_CPHASE}) AS im FROM samples, placed WHERE NOT flag GROUP BY sample)
     SELECT x, y, round({DIRTY} / sum(weight), 6) + 0 AS value FROM p, pixels GROUP BY x, y""")
 def residual_image(spark, sf_dir):
     vis = vis_of(spark, sf_dir)

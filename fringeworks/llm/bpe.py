@@ -241,7 +241,7 @@ def round_trip(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", mean: int
             ids, bounds = code.encoder.encode(data[ragged(lo, hi - lo)], np.concatenate([np.zeros(1, np.int64), np.cumsum(hi - lo)]))
             yield table(_BODIES, [a[chunk], b[chunk], binary_of(np.ascontiguousarray(ids, code.kind).view(np.uint8), bounds * np.dtype(code.kind).itemsize)])
 
-    dictionary = stored(plain.select("text").mapInArrow(tidy(once), "a long, b long, body binary").filter("octet_length(body) > 0"), "dictionary")
+    dictionary = stored(plain.select("text").mapInArrow(tidy(once, keeps=True), "a long, b long, body binary").filter("octet_length(body) > 0"), "dictionary")
     given = lay_beside(shared.join(dictionary, ["a", "b"]).select(F.explode("parts").alias("part"), "a", "b", "body"), "given")
     discard(shared, dictionary)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
@@ -283,4 +283,4 @@ def round_trip(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", mean: int
             text, ends_ = code.decoder.decode(flat, first)
             yield table(schema, [batch.column(0), np.diff(first), binary_of(np.ascontiguousarray(flat, "<u4").view(np.uint8), first * 4), binary_of(text, ends_).cast(pa.string())])
 
-    return plain.mapInArrow(tidy(whole), "doc_id long, n_tokens long, ids binary, decoded string")
+    return plain.mapInArrow(tidy(whole, keeps=True), "doc_id long, n_tokens long, ids binary, decoded string")

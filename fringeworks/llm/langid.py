@@ -225,10 +225,11 @@ def fit(labelled: DataFrame, vocabulary: str = "piece_bpe_32k.model", fit_docume
     number for each language and piece of the vocabulary.
     """
     known = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("documents"))
-    # of each language a fifth more than are wanted by their hashes, and of these few the first
-    share = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(1 << 62)).alias("share")
-    few = known.withColumn("share", share).join(sizes, "lang").filter(F.col("share") * F.col("documents") <= 1.2 * fit_documents + 30)
+    # of each language a fifth more than are wanted by their hashes, and of these few the first; a number for each language
+    sizes = {r.lang: r.documents for r in known.groupBy("lang").agg(F.count("*").alias("documents")).collect()}
+    limits = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, (1.2 * fit_documents + 30) / n)))
+    share = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(1 << 62)
+    few = known.withColumn("share", share).filter(F.col("share") <= limits[F.col("lang")]) if sizes else known.limit(0).withColumn("share", share)
     order = Window.partitionBy("lang").orderBy("share", "doc_id")
     sample = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_documents).select("lang", "text")
     counted = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
@@ -300,7 +301,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: str = "pi
             pred = pa.array([names[b] if b >= 0 else "und" for b in best], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, pred, pa.array(score, pa.float64())], names=[*rest_, "lang_pred", "score"])
 
-    return docs.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run, keeps=True), schema)
 
 
 def training_part(doc_id: str = "doc_id", parts: int = 4, held_out: int = 2):

@@ -46,7 +46,7 @@ def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int
             yield table(schema, [np.full(len(ends), part), at + offsets[:-1], batch.column(0), list_of(out, offsets, pa.int32())])
             at += len(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _TOKENS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, keeps=True), _TOKENS)
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_OF_DOCUMENT, ids_as: str = "array<int>") -> DataFrame:

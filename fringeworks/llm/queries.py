@@ -46,8 +46,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations in the order of replies, without quotes."""
-    return chat.reply_ordered(read(spark, sf_dir, "conversations"))
+    """Conversations in the order of replies, without quotes; paths as turns joined by points."""
+    return chat.reply_ordered(read(spark, sf_dir, "conversations")).withColumn("path", F.concat_ws(".", F.col("path").cast("array<string>")))
 
 
 def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for those queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
+    "op6_chat": r"""
+        WITH RECURSIVE messages AS (SELECT row_number() OVER () AS id, * FROM conversations),
+        split AS (SELECT id, conv_id, turn, string_split_regex(coalesce(text, ''), '\r?\n') AS parts FROM messages),
+        lines AS (SELECT id, conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM split),
+        levels AS (SELECT id, conv_id, turn, i, regexp_replace(line, '^[ \t]{0,3}((?:>[ \t]?)+)', '') AS body,
+                          CASE WHEN regexp_matches(line, '(?i)^on .+ wrote:\s*$') THEN -1
+                               ELSE length(regexp_replace(regexp_extract(line, '^[ \t]{0,3}((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) END AS level FROM lines),
+        raw AS (SELECT id, conv_id, turn, level, string_agg(body, ' ' ORDER BY i) AS said, true AS whole FROM levels WHERE level >= 0 GROUP BY ALL
+                UNION ALL SELECT id, conv_id, turn, level, body, false FROM levels WHERE level >= 0),
+        passages AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(said), '\s+', ' ', 'g')) AS passage, whole FROM raw WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        quotes AS (SELECT conv_id, turn, passage, min(level) AS level FROM passages WHERE level > 0 AND passage <> '' AND (whole OR length(passage) >= 12) GROUP BY ALL),
+        originals AS (SELECT conv_id, passage, min(turn) AS original FROM passages WHERE level = 0 AND passage <> '' GROUP BY ALL),
+        strength AS (SELECT q.conv_id, q.turn, original, min(level) AS level, sum(length(passage)) AS size
+                     FROM quotes q JOIN originals USING (conv_id, passage) WHERE original < turn GROUP BY ALL),
+        replies AS (SELECT conv_id, turn, original AS reply_to FROM strength
+                    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, size DESC, original DESC) = 1),
+        walks AS (SELECT conv_id, turn, reply_to AS top, [reply_to, turn] AS path FROM replies
+                  UNION ALL SELECT w.conv_id, w.turn, r.reply_to, list_prepend(r.reply_to, w.path) FROM walks w JOIN replies r ON r.conv_id = w.conv_id AND r.turn = w.top),
+        paths AS (SELECT conv_id, turn, path FROM walks QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(path) DESC) = 1),
+        bodies AS (SELECT id, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), '') AS body, count(*) FILTER (level > 0) AS n_quoted FROM levels GROUP BY id),
+        found AS (SELECT m.conv_id, m.turn, coalesce(m.role, 'user') AS role, regexp_replace(trim(regexp_replace(body, '\n{3,}', chr(10) || chr(10), 'g')), '^\n+|\n+$', '', 'g') AS text, reply_to,
+                         coalesce(p.path, CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN [m.turn] ELSE [] END) AS path, n_quoted
+                  FROM messages m JOIN bodies USING (id) LEFT JOIN paths p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN replies r ON r.conv_id = m.conv_id AND r.turn = m.turn)
+        SELECT conv_id, turn, role, text, reply_to, path[1] AS thread, CAST(len(path) - 1 AS BIGINT) AS depth, array_to_string(path, '.') AS path, n_quoted,
+               '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS formatted FROM found""",
     "op7_hamming": """
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (

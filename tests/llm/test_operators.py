@@ -308,6 +308,33 @@ def test_short_quotations(spark):
     assert got[4].path == [1, 2, 3, 4] and got[4].thread == 1
 
 
+def test_quotations_like_sql(spark, tmp_path):
+    """Conversations of the driver in which every second message quotes earlier ones, some of them quoting themselves."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from fringeworks.llm import queries
+
+    rows = sorted(pq.read_table("/root/testdata/sf0.001/conversations.parquet").to_pylist(), key=lambda x: (x["conv_id"], x["turn"]))
+    r, sent = random.Random(5), {}
+    for x in rows:
+        earlier = sent.setdefault(x["conv_id"], [])
+        if earlier and r.random() < 0.7:
+            quoted = r.choice(earlier)
+            lines = ["> " + y for y in quoted.split("\n")] if r.random() < 0.6 else ["> " + r.choice(quoted.split("\n")).upper()]
+            x["text"] = r.choice(["On Monday Ann wrote:\n", ""]) + "\r\n".join(lines) + "\n\n\n\n" + (x["text"] or "")
+        earlier.append(x["text"] or "")
+    rows += [rows[0], rows[0] | {"turn": None}, rows[1] | {"text": None, "role": None, "turn": 99}, rows[2] | {"conv_id": None}]
+    pq.write_table(pa.Table.from_pylist(rows), f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    want = con.execute(queries.SQL["op6_chat"]).to_arrow_table().to_pylist()
+    got = [x.asDict() for x in queries.op6_chat(spark, f"file://{tmp_path}").collect()]
+    order = lambda x: [str(x[k]) for k in sorted(x)]
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert sum(x["reply_to"] is not None for x in got) > 20 and max(x["depth"] for x in got) > 1
+
+
 def test_hamming_top_k(spark):
     r = np.random.default_rng(0)
     vectors = r.normal(size=(400, 64))

@@ -11,9 +11,13 @@ from . import bpe, chat, hamming, langid, minhash, packing, quality, substring,
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts differ much in length, so batches for Python workers are bounded in bytes."""
+    """A table; texts differ much in length, so batches for Python workers are bounded in bytes.
+
+    A table that Spark reads in fewer parts than there are cores is dealt out to all of them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in the order of replies, without quotes; paths as turns joined by points."""
-    return chat.reply_ordered(read(spark, sf_dir, "conversations")).withColumn("path", F.concat_ws(".", F.col("path").cast("array<string>")))
+    return chat.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("path", F.concat_ws(".", F.col("path").cast("array<string>")))
 
 
 def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,3 +416,37 @@ def test_repeated_rows(spark):
     assert sorted(r.n_tokens for r in bpe.round_trip(docs).collect())[0] == 2
     assert quality.quality(docs).count() == 3
     assert hashlib.sha256(bytes(bpe.round_trip(docs).filter("doc_id = 1").first().ids)).hexdigest()
+
+
+def test_null_ids_and_clashing_columns(spark):
+    """Rows without an id beside others, in a table whose other columns have names that operators use inside."""
+    text = " ".join(f"w{k}" for k in range(120))
+    rows = [(1, text), (2, text), (None, text), (None, None), (2**60 + 1, "last one"), (4, "")]
+    names = ["label", "hits", "at", "part", "row", "n", "bucket", "a", "b", "gram", "hub", "doc", "root", "place", "share", "documents", "ids", "line", "host"]
+    df = spark.createDataFrame([(i, t, "en", "s", *[7] * len(names)) for i, t in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{x} int" for x in names))
+    ids = sorted(str(i) for i, _ in rows)
+    for f in (minhash.components, quality.quality, substring.remove_repeats, suffix.remove_repeats, bpe.round_trip, langid.identify):
+        assert sorted(str(r.doc_id) for r in f(df).collect()) == ids, f
+    pieces = packing.pack(df).collect()
+    assert sorted(str(p.doc_id) for p in pieces if p.start == 0) == ids
+    assert {r.doc_id: (r.component_id, r.kept) for r in minhash.components(df).collect()} == {1: (1, True), 2: (1, False), None: (None, False), 4: (4, True), 2**60 + 1: (2**60 + 1, True)}
+    assert sorted(len(r.kept) for r in suffix.remove_repeats(df).filter("doc_id is null").collect()) == [0, len(text)]
+
+
+def test_one_id_with_several_texts(spark):
+    """The greatest text stands for the document."""
+    same = " ".join(f"v{k}" for k in range(60))
+    other = " ".join(f"w{k}" for k in range(60))
+    docs = frame(spark, [same, other, other, same, "few"], ids=[5, 5, 6, 7, 8])
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.components(docs).collect()) == [(5, 56, 5, True), (5, 56, 5, True), (6, 56, 5, False), (7, 56, 7, True), (8, 1, 8, True)]
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes, with and without white space, beside a short one."""
+    long_ = " ".join(f"w{k * 7919 % 100003}" for k in range(300_000))
+    solid = "".join(chr(97 + k * k % 23) for k in range(300_000))
+    docs = frame(spark, [long_, long_ + " end", solid, "short text"])
+    assert [r.component_id for r in sorted(minhash.components(docs).collect())] == [0, 0, 2, 3]
+    assert {r.doc_id: r.n_words for r in quality.quality(docs).collect()} == {0: 300_000, 1: 300_001, 2: 1, 3: 2}
+    assert {r.doc_id: sum(s.end - s.start for s in r.spans) for r in substring.remove_repeats(docs).collect()} == {0: 0, 1: 300_000, 2: 0, 3: 0}
+    assert all(0 <= r.score <= 1 for r in langid.predict(docs, {"x": np.full(langid.Pieces("piece_bpe_32k.model").size, 1e-4)}).collect())

@@ -366,3 +366,16 @@ def baseline_tracks(spark, sf_dir):
 @query()
 def baseline_dependent_average(spark, sf_dir):
     return visibility.average_baselines(vis_of(spark, sf_dir), 0.9, 1e-3)
+
+
+@query("""WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+    r AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts))) AS BIGINT) AS last, count(*) AS n, round(sum(value), 6) + 0 AS total FROM r GROUP BY user_id, run""")
+def session_statistics(spark, sf_dir):
+    """Runs of a user's events less than an hour apart."""
+    from ..streaming import session_statistics as of
+
+    runs = of(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "1 hour")
+    # the table's times have no zone, so the session's must not matter
+    seconds = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({c} AS TIMESTAMP_NTZ))")
+    return rounded(runs.select("user_id", seconds("start").alias("start"), seconds("last").alias("last"), "n", "total"), "user_id", "start", "last", "n")

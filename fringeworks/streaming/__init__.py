@@ -1 +1,22 @@
+"""Operators that work alike on streams and on tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def session_statistics(events: DataFrame, key: str, gap: str, late: str | None = None) -> DataFrame:
+    """(key, start, last, n, total): runs of events of a key that stand less than ``gap`` apart.
+
+    events: key, ts (timestamp), value; other columns are ignored.  On a stream
+    give ``late``, by how much events may come late; a run is then complete, and
+    appended, once no event can join it.  Null keys form one key, rows with a null
+    ts are left out, and null values count but add nothing.
+    """
+    rows = events.select(key, F.col("ts").cast("timestamp").alias("ts"), "value").filter("ts is not null")
+    if late is not None:
+        rows = rows.withWatermark("ts", late)
+    runs = rows.groupBy(key, F.session_window("ts", gap).alias("run"))
+    sums = runs.agg(F.max("ts").alias("last"), F.count("*").alias("n"), F.sum("value").alias("total"))
+    return sums.select(key, F.col("run.start").alias("start"), "last", "n", "total")

@@ -110,5 +110,25 @@ def profile(kind: str, t: Column, t0: float, width: float) -> Column:
     raise ValueError(f"no profile {kind}")
 
 
+def periodic(kind: str, t: Column, t0: float, width: float, period: float, until: float) -> Column:
+    """Sum of the profile's copies ``period`` apart whose peaks are not after ``until``; 0 if the first is."""
+    if t0 > until:
+        return F.lit(0.0)
+    copies = F.sequence(F.lit(0), F.lit(int((until - t0) / period)))
+    return F.aggregate(F.transform(copies, lambda n: profile(kind, t, t0 + n * F.lit(float(period)), width).cast("double")), F.lit(0.0), lambda a, b: a + b)
+
+
+def stokes_of_logarithm(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
+    """I, Q, U, V of the brightness matrix exp([[a + b, c + id], [c - id, a - b]]): positive I, never over-polarised."""
+    p = F.sqrt(b * b + c * c + d * d)
+    share = F.when(p > 0, F.sinh(p) / p).otherwise(1.0) * F.exp(a)
+    return {"i": F.exp(a) * F.cosh(p), "q": b * share, "u": c * share, "v": d * share}
+
+
+def shrunk(value: Column, gamma: float) -> Column:
+    """Proximal step of gamma / 2 times the square."""
+    return value / (1.0 + gamma)
+
+
 def spectrum(freq: Column, flux: float, ref: float, index: float) -> Column:
     return flux * F.pow(freq / ref, F.lit(index))

@@ -49,15 +49,33 @@ def without_flagged_groups(vis: DataFrame, keys: list[str]) -> DataFrame:
     return vis.groupBy(*keys).agg(F.count("*").alias("samples"), F.count_if(~F.col("flag")).alias("good")).filter("good > 0")
 
 
+#: Seconds of a stretch of times that is put in order as one.
+STRETCH = 86400.0
+
+
+def _before(times: DataFrame, n: Column) -> DataFrame:
+    """``before``: the sum of n over all earlier times.
+
+    Times are put in order within stretches of a day, in as many tasks as there are
+    days; only the days' sums, a row each, are put in order together.
+    """
+    cut = times.withColumns({"_stretch": F.floor(F.col("time") / STRETCH), "_n": n})
+    days = cut.groupBy("_stretch").agg(F.sum("_n").alias("_all"))
+    days = days.select("_stretch", (F.sum("_all").over(Window.orderBy("_stretch")) - F.col("_all")).alias("_earlier"))
+    inside = F.sum("_n").over(Window.partitionBy("_stretch").orderBy("time")) - F.col("_n")
+    return cut.withColumn("_inside", inside).join(days, "_stretch").withColumn("before", F.col("_inside") + F.col("_earlier")).drop("_stretch", "_n", "_inside", "_earlier")
+
+
 def time_bins(vis: DataFrame) -> DataFrame:
-    """Run-length index of the times: first row and number of rows of each."""
-    bins = vis.groupBy("time").agg(F.count("*").alias("n"))
-    return bins.withColumn("start", F.sum("n").over(Window.orderBy("time")) - F.col("n"))
+    """Run-length index of the times: first row and number of rows of each; null times are left out."""
+    bins = vis.filter("time IS NOT NULL").groupBy("time").agg(F.count("*").alias("n"))
+    return _before(bins, F.col("n")).withColumnRenamed("before", "start")
 
 
 def time_blocks(times: DataFrame, per_block: int) -> DataFrame:
-    """Blocks of ``per_block`` distinct times in order."""
-    return times.select("time").distinct().withColumn("block", F.floor((F.row_number().over(Window.orderBy("time")) - 1) / per_block).cast("int"))
+    """Blocks of ``per_block`` distinct times in order; null times are left out."""
+    each = times.select("time").filter("time IS NOT NULL").distinct()
+    return _before(each, F.lit(1)).select("time", F.floor(F.col("before") / per_block).cast("int").alias("block"))
 
 
 def dense_antennas(vis: DataFrame) -> DataFrame:

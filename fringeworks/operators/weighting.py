@@ -81,11 +81,12 @@ def student_weights(vis: DataFrame, dof: float, mode: str) -> DataFrame:
 
     grid: w (dof + 2) / (dof + rho), rho = w |r|^2 / mean(w |r|^2), per correlation.
     hci: (dof + 1) / (dof + rho) / s2, rho = |r|^2 / s2, s2 the mean |r|^2 over all correlations.
+    Flagged samples are kept with the weights that they have, and count in no mean.
     """
     size = F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    good = vis.filter(~F.col("flag"))
+    good, kept = vis.filter(~F.col("flag")), lambda w: F.when(F.col("flag"), F.col("weight")).otherwise(w)
     if mode == "grid":
         norm = good.groupBy("corr").agg(F.avg(F.col("weight") * size).alias("s2"))
-        return good.join(F.broadcast(norm), "corr").withColumn("weight", F.col("weight") * (dof + 2) / (dof + F.col("weight") * size / F.col("s2")))  # a row for each correlation
+        return vis.join(F.broadcast(norm), "corr", "left").withColumn("weight", kept(F.col("weight") * (dof + 2) / (dof + F.col("weight") * size / F.col("s2")))).drop("s2")  # a row for each correlation
     norm = good.agg(F.avg(size).alias("s2"))
-    return good.crossJoin(F.broadcast(norm)).withColumn("weight", (dof + 1) / (dof + size / F.col("s2")) / F.col("s2"))  # one row
+    return vis.crossJoin(F.broadcast(norm)).withColumn("weight", kept((dof + 1) / (dof + size / F.col("s2")) / F.col("s2"))).drop("s2")  # one row

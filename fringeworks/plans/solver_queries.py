@@ -74,10 +74,14 @@ def forward_backward(spark, sf_dir):
 
 @query()
 def fit_beam(spark, sf_dir):
-    """The kernel placed in each band, fitted."""
-    rows = [(i, j, float(PSF[i, j])) for i in range(16) for j in range(16)]
-    kernels = spark.createDataFrame(rows, "x int, y int, value double").crossJoin(F.broadcast(spark.range(3).select(F.col("id").cast("int").alias("band"))))
-    return rounded(solvers.fit_beams(kernels, 16, 16), "band", digits=4)
+    """Beams fitted to the PSFs that the visibilities give, in pixels, for each band."""
+    from ..operators import imaging
+    from ..sources import vis_of
+    from .vis_queries import CELL, band_time
+
+    vis = band_time(vis_of(spark, sf_dir))
+    psfs = imaging.normalised(imaging.direct_image(vis, 16, 16, CELL, ["band_id"], value="psf"), imaging.weight_sums(vis, ["band_id"]), ["band_id"])
+    return rounded(solvers.fit_beams(psfs.withColumnRenamed("band_id", "band"), 16, 16), "band", digits=4)
 
 
 @query()
@@ -92,9 +96,9 @@ def psi_roundtrip(spark, sf_dir):
     return rounded(solvers.wavelet_round_trip(bands_of(spark, sf_dir), N, N, ["self", "db1", "db2", "db3", "db4", "db5"]), *BXY)
 
 
-@query(f"{BANDS} SELECT CAST(2 AS INT) AS components, count(DISTINCT band) AS n_bands, count(*) AS n_values FROM bands")
+@query(f"{BANDS} SELECT count(DISTINCT x * 8 + y) AS components, count(DISTINCT band) AS n_bands, count(*) AS n_values FROM bands")
 def cube_extent(spark, sf_dir) -> DataFrame:
-    return bands_of(spark, sf_dir).agg(F.lit(2).alias("components"), F.countDistinct("band").alias("n_bands"), F.count("*").alias("n_values"))
+    return bands_of(spark, sf_dir).agg(F.countDistinct(F.col("x") * 8 + F.col("y")).alias("components"), F.countDistinct("band").alias("n_bands"), F.count("*").alias("n_values"))
 
 
 @query(f"{BANDS}, r AS (SELECT band, stddev_pop(value) AS rms, 1e0 + band AS bmaj, 1e0 + 0.5e0 * band AS bmin, 0.1e0 * band AS bpa FROM bands GROUP BY band) SELECT max(bmaj) AS bmaj, max(bmin) AS bmin, round(avg(bpa), 6) AS bpa FROM r")

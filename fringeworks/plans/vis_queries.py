@@ -237,13 +237,13 @@ def weights_super_robust(spark, sf_dir):
 
 
 @query(f"""{W}, g AS (SELECT *, re * re + im * im AS p FROM vis WHERE NOT flag), n AS (SELECT corr, avg(weight * p) AS s2 FROM g GROUP BY corr)
-    SELECT row_id, round(weight * 7 / (5 + weight * p / s2), 6) AS weight FROM g JOIN n USING (corr)""")
+    SELECT row_id, round(CASE WHEN flag THEN weight ELSE weight * 7 / (5 + weight * (re * re + im * im) / s2) END, 6) AS weight FROM vis LEFT JOIN n USING (corr)""")
 def l2_reweight_grid(spark, sf_dir):
     return rounded(weighting.student_weights(vis_of(spark, sf_dir), 5.0, "grid").select("row_id", "weight"), "row_id")
 
 
 @query(f"""{W}, g AS (SELECT *, re * re + im * im AS p FROM vis WHERE NOT flag)
-    SELECT row_id, round(6e0 / (5 + p / s2) / s2, 6) AS weight FROM g, (SELECT avg(p) AS s2 FROM g)""")
+    SELECT row_id, round(CASE WHEN flag THEN weight ELSE 6e0 / (5 + (re * re + im * im) / s2) / s2 END, 6) AS weight FROM vis, (SELECT avg(p) AS s2 FROM g)""")
 def l2_reweight_hci(spark, sf_dir):
     return rounded(weighting.student_weights(vis_of(spark, sf_dir), 5.0, "hci").select("row_id", "weight"), "row_id")
 

@@ -20,3 +20,18 @@ def session_statistics(events: DataFrame, key: str, gap: str, late: str | None =
     runs = rows.groupBy(key, F.session_window("ts", gap).alias("run"))
     sums = runs.agg(F.max("ts").alias("last"), F.count("*").alias("n"), F.sum("value").alias("total"))
     return sums.select(key, F.col("run.start").alias("start"), "last", "n", "total")
+
+
+def running_mean(rows: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """(keys, value, weight): mean of ``value`` by ``weight`` over all rows so far.
+
+    On a stream the result is updated with every batch (output mode ``update`` or
+    ``complete``), and the state is two sums for each key.  Null values count
+    nothing.  With ``late`` the keys must hold a time window, and a window is
+    final, and appended, once its rows can come no more.
+    """
+    if late is not None:
+        rows = rows.withWatermark("ts", late)
+    kept = rows.filter("value IS NOT NULL AND weight IS NOT NULL")
+    w = F.sum("weight")
+    return kept.groupBy(*keys).agg((F.sum(F.col("value") * F.col("weight")) / F.nullif(w, F.lit(0.0))).alias("value"), w.alias("weight"))

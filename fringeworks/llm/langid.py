@@ -38,6 +38,8 @@ _CHAR_BASE = U64(0x8CB92BA72F3D8DD7)
 _NONE = U64(0x110000)
 #: Words whose scores a worker remembers.
 REMEMBERED = 200_000
+#: Words of one length that are summed at once, which bounds the temporaries of a sum.
+TOGETHER = 5_000
 
 
 class Pieces:
@@ -54,7 +56,7 @@ class Pieces:
         every = sorted({x[:k] for x in self.names for k in range(1, len(x) + 1)})
         hashes = self._hash(every)
         order = np.argsort(hashes)
-        self.hashes, self.slot = hashes[order], np.array([slot.get(x, -1) for x in every])[order]
+        self.hashes, self.slot = hashes[order], np.array([slot.get(x, -1) for x in every], np.int32)[order]
 
     @staticmethod
     def codes(words: list[str], width: int) -> np.ndarray:
@@ -76,14 +78,14 @@ class Pieces:
         """(begin, end, rows, pieces): which words have a piece there, and which; ``size`` for a character that is none."""
         out, width = [], codes.shape[1]
         for begin in range(width if begins is None else begins):
-            rows, value = np.arange(len(codes)), np.zeros(len(codes), U64)
+            rows, value = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), U64)
             for end in range(begin + 1, min(width, begin + self.longest) + 1):
                 value = value * _CHAR_BASE + codes[rows, end - 1] + U64(1)
                 at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
                 known = self.hashes[at] == value
-                piece = np.where(known, self.slot[at], -1)
+                piece = np.where(known, self.slot[at], np.int32(-1))
                 if end == begin + 1:
-                    out.append((begin, end, rows, np.where(piece < 0, self.size, piece)))
+                    out.append((begin, end, rows, np.where(piece < 0, np.int32(self.size), piece)))
                 elif (hit := piece >= 0).any():
                     out.append((begin, end, rows[hit], piece[hit]))
                 rows, value = rows[known], value[known]
@@ -96,7 +98,7 @@ def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words grouped by their length: their indices, and their code points after the mark of a word's start."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
-        for rows in np.array_split(np.flatnonzero(lengths == n), 1 + int((lengths == n).sum()) // 20_000):
+        for rows in np.array_split(np.flatnonzero(lengths == n), 1 + int((lengths == n).sum()) // TOGETHER):
             yield rows, Pieces.codes([_WORD_START + words[i] for i in rows], int(n) + 1)
 
 
@@ -147,11 +149,11 @@ def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = RO
     """Piece probabilities of one language, by expectation maximisation over the counted words."""
     table_of = pieces(path)
     size = table_of.size
-    groups = [(counts[rows].astype(float), codes.shape[1], table_of.parts(codes)) for rows, codes in by_width(words)]
     probability = np.append(np.full(size, 1 / size), UNKNOWN)
     for _ in range(rounds):
         expected = np.zeros(size + 1)
-        for n, width, parts in groups:
+        for at, codes in by_width(words):  # pieces are found anew each round: kept, they would grow with the sample
+            n, width, parts = counts[at].astype(float), codes.shape[1], table_of.parts(codes)
             alpha = forward(parts, width, probability[:, None])[:, :, 0]
             beta = np.zeros_like(alpha)
             beta[width] = 1
@@ -284,16 +286,17 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: str = "pi
         scorer = held(key, lambda: Scorer(vocabulary, shared.value)) if names else None
         for batch, data, offs in slices(batches):
             n = len(offs) - 1
-            letter = np.zeros(n, bool)
-            ascii_letters = np.concatenate([np.zeros(1, np.int64), np.cumsum((data | 32) - 97 < 26)])
-            letter = np.diff(ascii_letters[offs]) > 0
+            ascii_letters = np.cumsum((data | 32) - 97 < 26, dtype=np.int32)
+            letter = np.diff(np.where(offs > 0, ascii_letters[offs - 1], 0) if len(data) else offs) > 0
+            del ascii_letters
             for i in np.flatnonzero(~letter):
                 letter[i] = any(c.isalpha() for c in data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"))
             best, score = np.full(n, -1), np.zeros(n)
             coded, first = _coded(data, offs)
             if len(coded) and names:
                 word = scorer.scores(coded.dictionary.to_pylist())
-                total = np.concatenate([np.zeros((1, len(names))), np.cumsum(word[coded.indices.to_numpy()], axis=0)])
+                total = np.zeros((len(coded) + 1, len(names)))
+                np.cumsum(word[coded.indices.to_numpy()], axis=0, out=total[1:])
                 logs = (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
                 odds = np.exp(logs - logs.max(axis=1, keepdims=True))
                 best = np.where(letter, odds.argmax(axis=1), -1)

@@ -9,7 +9,7 @@ that cut the lineage.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import log, pi, sqrt
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import stored
+from ..plans.tables import discard, stored
 from .images import soft
 
 
@@ -117,31 +117,85 @@ def spectral_norms(images: DataFrame, psf: np.ndarray, eta: float, nx: int, ny:
     return images.groupBy("band").applyInArrow(run, "band int, norm double")
 
 
-def hogbom(residual: DataFrame, psf: np.ndarray, gain: float, threshold: float, most: int) -> tuple[DataFrame, DataFrame]:
+def hogbom(residual: DataFrame, psf: np.ndarray, gain: float, threshold: float, most: int, share: float = 0.0, active: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(model, residual) of CLEAN on (band, x, y, value): the peak of the squared sum over bands, shifted kernels subtracted.
 
-    The loop is on the driver and each step's pixels stay in Spark; the kernel is
-    a literal of its own size.  Ties go to the first pixel, row by row.
+    Ends when the peak of the sum is at most ``threshold`` or ``share`` of the
+    first one, and warns if ``most`` steps do not get there.  Ties go to the first
+    pixel, row by row.  The result is that of one step after another, but steps
+    are taken on the driver among the ``active`` highest pixels for as long as no
+    other pixel can have risen above them; a round's kernels are then subtracted
+    in all tasks.  ``active`` bounds what the driver and a task hold and changes
+    nothing in the result.
     """
-    spark, (px, py) = residual.sparkSession, psf.shape
-    kernel = F.broadcast(spark.createDataFrame([(i - px // 2, j - py // 2, float(psf[i, j])) for i in range(px) for j in range(py)], "dx int, dy int, k double"))  # the kernel's pixels
-    top = float(psf.max())
-    found: list[tuple[int, int, int, float]] = []
-    bands = [r[0] for r in residual.select("band").distinct().orderBy("band").collect()]
-    for step in range(most):
-        total = residual.groupBy("x", "y").agg(F.sum("value").alias("s"), F.map_from_entries(F.collect_list(F.struct("band", "value"))).alias("each"))
-        peak = total.orderBy(F.desc(F.round(F.col("s") * F.col("s"), 12)), "x", "y").first()
-        if peak is None or abs(peak["s"]) <= threshold:
+    spark, (px, py), top = residual.sparkSession, psf.shape, float(psf.max())
+    away = np.abs(psf).copy()
+    away[px // 2, py // 2] = 0.0
+    spill = float(away.max())  # the most that a step changes another pixel, for a peak of 1
+    state = stored(residual.select("band", "x", "y", F.col("value").cast("double").alias("value")), "residual")
+    bands = np.array(sorted(r[0] for r in state.select("band").distinct().collect()), int)
+    model: dict[tuple[int, int], np.ndarray] = {}
+    goal, done = None, 0
+    while True:
+        sums = state.groupBy("x", "y").agg(F.sum("value").alias("s"))
+        best = sums.orderBy(F.desc(F.round(F.col("s") * F.col("s"), 12)), "x", "y").limit(active + 1).collect()
+        if not best:
+            break
+        goal = max(threshold, share * abs(best[0]["s"])) if goal is None else goal
+        if abs(best[0]["s"]) <= goal:
+            break
+        if done >= most:
+            _unfinished("hogbom", most, abs(best[0]["s"]))
             break
-        p, q = peak["x"], peak["y"]
-        got = {b: gain * (peak["each"] or {}).get(b, 0.0) / top for b in bands}
-        found += [(b, p, q, v) for b, v in got.items()]
-        size = F.create_map(*(F.lit(x) for b, v in got.items() for x in (b, v)))
-        residual = residual.withColumns({"dx": F.col("x") - p, "dy": F.col("y") - q}).join(kernel, ["dx", "dy"], "left").select("band", "x", "y", (F.col("value") - F.coalesce(F.col("k") * F.get(F.array(*(F.lit(v) for v in got.values())), F.array_position(F.array(*map(F.lit, got)), F.col("band")).cast("int") - 1), F.lit(0.0))).alias("value"))
-        if step % 8 == 7:
-            residual = stored(residual, "residual")
-    model = spark.createDataFrame(found, "band int, x int, y int, value double").groupBy("band", "x", "y").agg(F.sum("value").alias("value"))
-    return model, residual
+        outside = abs(best[active]["s"]) if len(best) > active else None
+        pixels = sorted((r["x"], r["y"]) for r in best[:active])
+        place = {p: i for i, p in enumerate(pixels)}
+        x, y = np.array(pixels).T
+        picked = spark.createDataFrame(pixels, "x int, y int")
+        values = np.zeros((len(bands), len(pixels)))
+        for r in state.join(F.broadcast(picked), ["x", "y"]).collect():  # ``active`` pixels in each band
+            values[np.searchsorted(bands, r["band"]), place[r["x"], r["y"]]] = r["value"]
+        flux: dict[int, np.ndarray] = {}
+        grown, first = 0.0, done
+        while done < most:
+            total = values.sum(axis=0)
+            q = int(np.argmax(np.round(total * total, 12)))
+            if abs(total[q]) <= goal:
+                break
+            if outside is not None and done > first and total[q] ** 2 <= (outside + grown) ** 2 + 1e-11:
+                break
+            new = gain * values[:, q] / top
+            flux[q] = flux.get(q, 0.0) + new
+            i, j = x - x[q] + px // 2, y - y[q] + py // 2
+            inside = (i >= 0) & (i < px) & (j >= 0) & (j < py)
+            values[:, inside] -= new[:, None] * psf[i[inside], j[inside]]
+            grown += abs(new.sum()) * spill
+            done += 1
+        for q, v in flux.items():
+            model[pixels[q]] = model.get(pixels[q], 0.0) + v
+        at = np.array(list(flux))
+        before, state = state, stored(_less_kernels(state, bands, x[at], y[at], np.stack(list(flux.values()), axis=1), psf), "residual")
+        discard(before)
+    found = [(int(b), int(p), int(q), float(v[k])) for (p, q), v in model.items() for k, b in enumerate(bands)]
+    return spark.createDataFrame(found, "band int, x int, y int, value double"), state
+
+
+def _less_kernels(state: DataFrame, bands: np.ndarray, x: np.ndarray, y: np.ndarray, flux: np.ndarray, psf: np.ndarray) -> DataFrame:
+    """state less the kernels at (x, y), whose heights are flux[band, pixel]."""
+    px, py = psf.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                i = part.column("x").to_numpy()[:, None] - x + px // 2
+                j = part.column("y").to_numpy()[:, None] - y + py // 2
+                inside = (i >= 0) & (i < px) & (j >= 0) & (j < py)
+                kernel = np.where(inside, psf[np.clip(i, 0, px - 1), np.clip(j, 0, py - 1)], 0.0)
+                lost = (kernel * flux[np.searchsorted(bands, part.column("band").to_numpy())]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(part.column("value").to_numpy() - lost)], names=["band", "x", "y", "value"])
+
+    return state.mapInArrow(run, state.schema)
 
 
 def _unfinished(name: str, rounds: int, left: float) -> None:

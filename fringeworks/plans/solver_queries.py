@@ -11,8 +11,24 @@ from .image_queries import BANDS, BXY, bands_of
 from .registry import query, rounded
 
 N = 8
+#: Where CLEAN ends: a share of the first peak, and a limit of steps that it does not reach.
+HOGBOM_SHARE, HOGBOM_STEPS = 0.2, 2000
 PSF = solvers.gaussian_kernel(16, 3.0, 2.0, 0.4)
-_OFFSETS = "psf(dx, dy, k) AS (VALUES " + ", ".join(f"({i - 8}, {j - 8}, CAST({float(PSF[i, j])!r} AS DOUBLE))" for i in range(16) for j in range(16)) + ")"
+
+
+def _offsets(kernel: np.ndarray) -> str:
+    return "psf(dx, dy, k) AS (VALUES " + ", ".join(f"({i - 8}, {j - 8}, CAST({float(kernel[i, j])!r} AS DOUBLE))" for i in range(16) for j in range(16)) + ")"
+
+
+_OFFSETS = _offsets(PSF)
+#: The kernel whose transform is the modulus of the PSF's.
+_POSITIVE = _offsets(np.fft.fftshift(np.fft.irfft2(np.abs(solvers.kernel_transform(PSF)))))
+
+
+def _convolved(source: str) -> str:
+    """SQL of a table's images less what leaves their frame."""
+    return f"""(SELECT b.band, CAST(b.x + dx AS INT) AS x, CAST(b.y + dy AS INT) AS y, sum(b.value * k) AS value
+        FROM {source} b, psf WHERE b.x + dx BETWEEN 0 AND 7 AND b.y + dy BETWEEN 0 AND 7 GROUP BY ALL)"""
 
 
 @query(f"""{BANDS}, {_OFFSETS} SELECT b.band, CAST(b.x + dx AS INT) AS x, CAST(b.y + dy AS INT) AS y, round(sum(b.value * k), 6) + 0 AS value
@@ -21,7 +37,7 @@ def psf_convolve(spark, sf_dir):
     return rounded(solvers.psf_convolve(bands_of(spark, sf_dir), PSF, N, N), *BXY)
 
 
-@query()
+@query(f"{BANDS}, {_POSITIVE} SELECT band, x, y, round(c.value + 0.1e0 * b.value, 6) + 0 AS value FROM {_convolved('bands')} c JOIN bands b USING (band, x, y)")
 def hessian_apply(spark, sf_dir):
     h = solvers.hessian(PSF, 0.1)
     return rounded(solvers.by_band(bands_of(spark, sf_dir), lambda c: {"value": h(c["value"])}, ["value"], N, N, ["value"]), *BXY)
@@ -37,19 +53,22 @@ def power_norm(spark, sf_dir):
     return rounded(solvers.spectral_norms(bands_of(spark, sf_dir), PSF, 0.1, N, N), "band")
 
 
-@query(f"""WITH RECURSIVE {BANDS[5:]}, flat AS (SELECT x * 8 + y AS i, value FROM bands WHERE band = 0),
-    steps(k, r, m) AS (SELECT 0, list(value ORDER BY i), list(0e0 ORDER BY i) FROM flat
-    UNION ALL SELECT k + 1, list_transform(r, lambda v, j: v - 0.1e0 * r[p] * exp(-abs((j - 1) // 8 - (p - 1) // 8) - abs((j - 1) % 8 - (p - 1) % 8)))
-        , list_transform(m, lambda v, j: v + CASE WHEN j = p THEN 0.1e0 * r[p] ELSE 0 END)
-        FROM (SELECT k, r, m, list_position(list_transform(r, lambda v: round(v * v, 12)), list_max(list_transform(r, lambda v: round(v * v, 12)))) AS p FROM steps) WHERE k < 12)
-    SELECT CAST((i - 1) // 8 AS INT) AS x, CAST((i - 1) % 8 AS INT) AS y, round(m[i], 6) + 0 AS model, round(r[i], 6) + 0 AS residual FROM steps, range(1, 65) t(i) WHERE k = 12""")
+@query(f"""WITH RECURSIVE {BANDS[5:]}, start AS (SELECT list(value ORDER BY band, x, y) AS r, list(DISTINCT band ORDER BY band) AS ids FROM bands),
+    steps(k, r, m, ids, goal) AS (SELECT 0, r, list_transform(r, lambda v: 0e0), ids, {HOGBOM_SHARE}e0 * (SELECT max(abs(s)) FROM (SELECT sum(value) AS s FROM bands GROUP BY x, y)) FROM start
+    UNION ALL SELECT k + 1, list_transform(r, lambda v, j: v - 0.1e0 * r[(j - 1) // 64 * 64 + p] * exp(-abs((j - 1) % 64 // 8 - (p - 1) // 8) - abs((j - 1) % 8 - (p - 1) % 8)))
+        , list_transform(m, lambda v, j: v + CASE WHEN (j - 1) % 64 + 1 = p THEN 0.1e0 * r[j] ELSE 0 END), ids, goal
+        FROM (SELECT *, list_position(powers, list_max(powers)) AS p FROM (SELECT *, list_transform(sums, lambda v: round(v * v, 12)) AS powers
+            FROM (SELECT *, list_transform(range(1, 65), lambda q: list_sum(list_transform(range(len(ids)), lambda b: r[b * 64 + q]))) AS sums FROM steps)))
+        WHERE abs(sums[p]) > goal AND k < {HOGBOM_STEPS})
+    SELECT ids[(i - 1) // 64 + 1] AS band, CAST((i - 1) % 64 // 8 AS INT) AS x, CAST((i - 1) % 8 AS INT) AS y, round(m[i], 6) + 0 AS model, round(r[i], 6) + 0 AS residual
+    FROM steps, range(1, 64 * len(ids) + 1) t(i) WHERE k = (SELECT max(k) FROM steps)""")
 def hogbom_small(spark, sf_dir):
-    """Twelve steps on band 0 with an exponential kernel."""
+    """All bands, to a share of the first peak of their sum, with an exponential kernel."""
     d = np.abs(np.arange(17) - 8)
     kernel = np.exp(-d[:, None] - d[None, :])
-    model, residual = solvers.hogbom(bands_of(spark, sf_dir).filter("band = 0"), kernel, 0.1, 0.0, 12)
+    model, residual = solvers.hogbom(bands_of(spark, sf_dir), kernel, 0.1, 0.0, HOGBOM_STEPS, HOGBOM_SHARE)
     out = residual.join(model.withColumnRenamed("value", "model"), BXY, "left")
-    return rounded(out.select("x", "y", F.coalesce("model", F.lit(0.0)).alias("model"), F.col("value").alias("residual")), "x", "y")
+    return rounded(out.select(*BXY, F.coalesce("model", F.lit(0.0)).alias("model"), F.col("value").alias("residual")), *BXY)
 
 
 @query()
@@ -84,7 +103,7 @@ def fit_beam(spark, sf_dir):
     return rounded(solvers.fit_beams(psfs.withColumnRenamed("band_id", "band"), 16, 16), "band", digits=4)
 
 
-@query()
+@query(f"{BANDS}, {_OFFSETS}, positive AS (SELECT band, x, y, greatest(value, 0) AS value FROM bands) SELECT band, x, y, round(c.value + b.value, 6) + 0 AS value FROM {_convolved('positive')} c JOIN bands b USING (band, x, y)")
 def restore(spark, sf_dir):
     b = bands_of(spark, sf_dir)
     return rounded(solvers.restore(images.positive(b, ["x", "y"], 1), b, (3.0, 2.0, 0.4), N, N), *BXY)

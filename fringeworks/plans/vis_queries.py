@@ -170,11 +170,18 @@ def max_baseline(spark, sf_dir):
     return out.withColumn("longest", F.round("longest", 6))
 
 
-@query()
+_SIZES = " * ".join(f"pow({p}, e{p})" for p in (2, 3, 5, 7, 11))
+_POWERS = ", ".join(f"range({n}) r{p}(e{p})" for p, n in ((2, 24), (3, 12), (5, 9), (7, 7), (11, 6)))
+
+
+@query(f"""{W}, need AS (SELECT 1 / (2 * round(max(sqrt(u * u + v * v)), 6) * max(freq) / {C}e0) / 2 AS cell FROM vis),
+    sizes AS (SELECT 2 * {_SIZES} AS n FROM {_POWERS})
+    SELECT CAST(min(n) AS INT) AS npix, round(cell, 12) AS cell_rad FROM need, sizes WHERE n >= {pi!r} / 180 / cell GROUP BY cell""")
 def image_geometry(spark, sf_dir):
     """Pixels and cell from the longest baseline and the highest frequency."""
     row = max_baseline(spark, sf_dir).first()
-    return spark.createDataFrame([image_size(row["longest"], row["highest"], 1.0)], "npix int, cell_rad double")
+    npix, cell = image_size(row["longest"], row["highest"], 1.0)
+    return spark.createDataFrame([(npix, round(cell, 12))], "npix int, cell_rad double")
 
 
 @query(f"{CELLS} SELECT band_id, ui, vi, round(cnt, 6) AS cnt FROM counts")
@@ -363,9 +370,19 @@ def baseline_tracks(spark, sf_dir):
     return out.withColumn("path", F.round("path", 4))
 
 
-@query()
+#: Samples lose a tenth at the edge of a field of 1e-3 radians: sin(pi x) = 0.9 pi x at this x.
+_TURNS = 0.25040899912669934
+
+_W_MEANS = ", ".join(f"round(sum(weight * {c}) / sum(weight), 5) + 0 AS {c}" for c in ("re", "im", "u", "v", "w"))
+
+
+@query(f"""{W}, t AS (SELECT *, freq / {C}e0 * coalesce(sqrt(pow(u - lag(u) OVER b, 2) + pow(v - lag(v) OVER b, 2) + pow(w - lag(w) OVER b, 2)), 0) AS moved FROM vis WHERE NOT flag WINDOW b AS (PARTITION BY ant1, ant2, chan ORDER BY time, row_id)),
+    p AS (SELECT *, CAST(floor(sum(moved) OVER (PARTITION BY ant1, ant2, chan ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) / ({_TURNS!r} / 5e-4)) AS BIGINT) AS bin FROM t)
+    SELECT ant1, ant2, chan, bin, {_W_MEANS}, round(sum(weight * time) / sum(weight), 2) AS time, round(sum(weight), 5) AS weight, count(*) AS samples FROM p GROUP BY ant1, ant2, chan, bin""")
 def baseline_dependent_average(spark, sf_dir):
-    return visibility.average_baselines(vis_of(spark, sf_dir), 0.9, 1e-3)
+    keys = ("ant1", "ant2", "chan", "bin", "samples")
+    out = visibility.average_baselines(vis_of(spark, sf_dir), 0.9, 1e-3)
+    return rounded(out.withColumn("time", F.round("time", 2)), *keys, "time", digits=5)
 
 
 @query("""WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),

@@ -1,5 +1,7 @@
 """Operators on inputs larger than those of the registered queries."""
 
+import warnings
+
 import numpy as np
 import pytest
 from fringeworks.operators import images, solvers
@@ -31,6 +33,53 @@ def test_islands_longer_than_their_rounds(spark):
     assert by == {min(x * 2**20 + y for x, y in s): set(s) for s in (line, bent, [(50, 50)])}
 
 
+def cleaned(cube, psf, gain, threshold, share, most):
+    """CLEAN one step after another."""
+    model, residual = np.zeros_like(cube), cube.copy()
+    goal, half = None, psf.shape[0] // 2
+    for _ in range(most):
+        total = np.round(residual.sum(0) ** 2, 12)
+        p, q = np.unravel_index(int(np.argmax(total)), total.shape)
+        peak = abs(residual[:, p, q].sum())
+        goal = max(threshold, share * peak) if goal is None else goal
+        if peak <= goal:
+            break
+        new = gain * residual[:, p, q] / psf.max()
+        model[:, p, q] += new
+        i, j = np.meshgrid(np.arange(N) - p + half, np.arange(N) - q + half, indexing="ij")
+        residual -= new[:, None, None] * np.where((i >= 0) & (j >= 0) & (i < len(psf)) & (j < len(psf)), psf[np.clip(i, 0, len(psf) - 1), np.clip(j, 0, len(psf) - 1)], 0)
+    return model, residual
+
+
+@pytest.mark.parametrize(("active", "threshold", "share", "most"), [(4096, 0.0, 0.3, 1000), (5, 0.8, 0.0, 60), (1, 0.0, 0.5, 25)])
+def test_hogbom_takes_the_steps_of_the_plain_loop(spark, active, threshold, share, most):
+    """Whatever part of the image the driver holds; with ties, and a kernel smaller than the image."""
+    rng = np.random.default_rng(3)
+    sky = rng.normal(size=(2, N, N)).round(1)
+    d = np.abs(np.arange(9) - 4)
+    kernel = np.exp(-(d[:, None] + d[None, :]) * 1.5)
+    model, residual = cleaned(sky, kernel, 0.3, threshold, share, most)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        got, left = solvers.hogbom(cube(spark, sky), kernel, 0.3, threshold, most, share, active)
+    assert np.allclose(dense(got), model) and np.allclose(dense(left), residual) and model.any()
+
+
+def test_hogbom_without_steps(spark):
+    """An empty table, and one below the threshold."""
+    empty = cube(spark, [])
+    for table, n in ((empty, 0), (cube(spark, [np.full((N, N), 0.1)]), N * N)):
+        model, residual = solvers.hogbom(table, PSF, 0.1, 1.0, 10)
+        assert model.count() == 0 and residual.count() == n
+
+
+def test_fista_is_optimal(spark):
+    b = np.random.default_rng(5).normal(size=(N, N))
+    x = dense(solvers.fista(cube(spark, [b]), PSF, N, N, 0.1, rounds=2000), bands=1)[0]
+    gradient = solvers.hessian(PSF, 0.0)(x) - b + 0.1
+    assert np.abs(np.minimum(x, gradient)).max() < 1e-3
+
+
 def test_clark_takes_the_peak_of_the_sum_over_bands(spark):
     """A source of both bands is cleaned; one that cancels in the sum is left alone."""
     sky = np.zeros((2, N, N))

@@ -302,3 +302,19 @@ def weighted_band_mean(spark, sf_dir):
 @query(f"{BANDS} SELECT band, x, y, {_r('value')} AS value FROM bands WHERE band NOT IN (1, 4) AND value > 0.01e0")
 def drop_bands_min_val(spark, sf_dir):
     return rounded(bands_of(spark, sf_dir).filter(~F.col("band").isin(1, 4) & (F.col("value") > 0.01)), *BXY)
+
+
+@query(f"""{BANDS} SELECT 'cube' AS product, band, x, y, {_r('value')} AS value FROM bands
+    UNION ALL SELECT 'mfs', 0, x, y, {_r('avg(value)')} FROM bands GROUP BY x, y""")
+def fits_cube_and_mean(spark, sf_dir):
+    """The cube and its mean over bands, written as FITS files and read back."""
+    from ..sources.fits import Frame, read_fits, write_fits
+    from .tables import temporary
+
+    folder = temporary(spark, "fits")
+    cube = bands_of(spark, sf_dir)
+    mean = cube.groupBy(*PIX).agg(F.avg("value").alias("value")).withColumn("band", F.lit(0))
+    for product, table, freqs in (("cube", cube, FREQS), ("mfs", mean, [sum(FREQS) / len(FREQS)])):
+        write_fits(table.withColumn("product", F.lit(product)), folder, Frame(8, 8, 0.001, 0.001, 0.2, -0.5, tuple(freqs)), ["product"], -64)
+    back = read_fits(spark, f"{folder}/*.fits").withColumn("product", F.regexp_extract("file", r"([^/]+)\.fits$", 1))
+    return rounded(back.select("product", *BXY, "value"), "product", *BXY)

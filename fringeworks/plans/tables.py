@@ -28,6 +28,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder for files that ``release`` deletes."""
+    path = new_folder(spark, name)
+    _EVERY[path] = None
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: computed once, and safe from lost executors.
 

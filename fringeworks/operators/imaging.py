@@ -18,8 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import C
+from ..plans.tables import stored
 
 _CHUNK = 4096
+#: Phases that a task holds at a time, samples times pixels.
+_PHASES = 1 << 22
+
+
+def _chunk(pixels: int) -> int:
+    return max(1, min(_CHUNK, _PHASES // max(pixels, 1)))
 
 
 def lm_grid(nx: int, ny: int, cell: float, l0: float = 0.0, m0: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +67,15 @@ def direct_image(vis: DataFrame, nx: int, ny: int, cell: float, groups: list[str
     names = ["u", "v", "w", "freq", "re", "im", "weight"]
     rows = vis.filter(~F.col("flag")).select(*groups, *names)
     pixels = np.arange(nx * ny)
+    step = _chunk(nx * ny)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for key, (u, v, w, f, re, im, wt) in _batches(groups, names, batch):
                 image = sums.setdefault(key, np.zeros(nx * ny))
-                for k in range(0, len(u), _CHUNK):
-                    s = slice(k, k + _CHUNK)
+                for k in range(0, len(u), step):
+                    s = slice(k, k + step)
                     phase = _phases(u[s], v[s], w[s], f[s], l, m)
                     if value == "psf":
                         centre = _phases(u[s], v[s], w[s], f[s], np.array([l0]), np.array([m0]))
@@ -82,6 +90,54 @@ def direct_image(vis: DataFrame, nx: int, ny: int, cell: float, groups: list[str
     return partial.groupBy(*groups, "x", "y").agg(F.sum("value").alias("value"))
 
 
+def product_sums(vis: DataFrame, nx: int, ny: int, cell: float, groups: list[str] | None = None, wide: int = 2) -> DataFrame:
+    """Rows (*groups, product, x, y, value) of one scan: dirty, psf, and residual where vis holds a model p_re, p_im.
+
+    Sums over the unflagged samples, centred.  psf has ``wide`` times the pixels
+    along each axis; its middle pixel is the sum of weights.
+    """
+    groups = groups or []
+    px, py = wide * nx, wide * ny
+    l, m = (a.ravel() for a in np.meshgrid(*lm_grid(px, py, cell), indexing="ij"))
+    inner = ((np.arange(nx) + px // 2 - nx // 2)[:, None] * py + np.arange(ny) + py // 2 - ny // 2).ravel()
+    model = ["p_re", "p_im"] if "p_re" in vis.columns else []
+    names = ["u", "v", "w", "freq", "re", "im", "weight", *model]
+    shapes = {"dirty": (nx, ny), "psf": (px, py), **({"residual": (nx, ny)} if model else {})}
+    step = _chunk(px * py)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, dict[str, np.ndarray]] = {}
+        for batch in batches:
+            for key, (u, v, w, f, re, im, wt, *predicted) in _batches(groups, names, batch):
+                image = sums.setdefault(key, {p: np.zeros(a * b) for p, (a, b) in shapes.items()})
+                for k in range(0, len(u), step):
+                    s = slice(k, k + step)
+                    phase = _phases(u[s], v[s], w[s], f[s], l, m)
+                    cos = np.cos(phase)
+                    image["psf"] += wt[s] @ cos
+                    cos, sin = cos[:, inner], np.sin(phase[:, inner])
+                    image["dirty"] += (wt[s] * re[s]) @ cos - (wt[s] * im[s]) @ sin
+                    if predicted:
+                        image["residual"] += (wt[s] * (re[s] - predicted[0][s])) @ cos - (wt[s] * (im[s] - predicted[1][s])) @ sin
+        for key, image in sums.items():
+            for product, (a, b) in shapes.items():
+                at = np.arange(a * b)
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * (a * b), pa.int32()) for k in key), pa.array([product] * (a * b)), pa.array((at // b).astype(np.int32)), pa.array((at % b).astype(np.int32)), pa.array(image[product])], names=[*groups, "product", "x", "y", "value"])
+
+    rows = vis.filter(~F.col("flag")).select(*(F.col(g).cast("int").alias(g) for g in groups), *names)
+    schema = ", ".join([*(f"{g} int" for g in groups), "product string", "x int", "y int", "value double"])
+    return rows.mapInArrow(run, schema).groupBy(*groups, "product", "x", "y").agg(F.sum("value").alias("value"))
+
+
+def data_products(vis: DataFrame, nx: int, ny: int, cell: float, groups: list[str] | None = None, components: DataFrame | None = None, wide: int = 2) -> DataFrame:
+    """Dirty images, PSFs and, given a model, residuals of each group, over the sums of weights; visibilities are read once."""
+    if components is not None:
+        vis = predict(vis, components, nx, ny, cell)
+    sums = stored(product_sums(vis, nx, ny, cell, groups, wide), "products")
+    middle = sums.filter((F.col("product") == "psf") & (F.col("x") == wide * nx // 2) & (F.col("y") == wide * ny // 2))
+    return normalised(sums, middle.select(*(groups or []), F.col("value").alias("wsum")), groups)
+
+
 def weight_sums(vis: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return vis.filter(~F.col("flag")).groupBy(*(groups or [])).agg(F.sum("weight").alias("wsum"))
 
@@ -113,13 +169,14 @@ def predict(vis: DataFrame, components: DataFrame, nx: int, ny: int, cell: float
     flux = np.array([r[2] for r in picked], float)
     l, m = gl[x] if len(x) else np.zeros(0), gm[y] if len(y) else np.zeros(0)
     names = vis.columns
+    step = _chunk(len(picked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, w, f = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("u", "v", "w", "freq"))
             re, im = np.zeros(len(u)), np.zeros(len(u))
-            for k in range(0, len(u), _CHUNK):
-                s = slice(k, k + _CHUNK)
+            for k in range(0, len(u), step):
+                s = slice(k, k + step)
                 phase = _phases(u[s], v[s], w[s], f[s], l, m)
                 re[s], im[s] = np.cos(phase) @ flux, -(np.sin(phase) @ flux)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(re), pa.array(im)], names=[*names, "p_re", "p_im"])

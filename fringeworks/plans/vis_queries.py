@@ -325,6 +325,22 @@ def residual_image(spark, sf_dir):
     return rounded(imaging.normalised(imaging.residual(vis, comps, NX, NX, CELL), imaging.weight_sums(vis)), "x", "y")
 
 
+_WIDE = PIXELS.replace("pixels AS", "wide AS").replace(f"range({NX})", f"range({2 * NX})").replace(f"- {NX // 2})", f"- {NX})")
+
+
+@query(f"""{BT}, {MODEL}, {PIXELS}, {_WIDE}, {_SAMPLES.replace("FROM vis", "FROM bt")},
+    p AS (SELECT any_value(band_id) AS band_id, any_value(u) AS u, any_value(v) AS v, any_value(w) AS w, any_value(freq) AS freq, any_value(weight) AS weight, any_value(re) AS re, any_value(im) AS im,
+    any_value(re) - sum(flux * cos{_CPHASE}) AS rest_re, any_value(im) + sum(flux * sin{_CPHASE}) AS rest_im FROM samples, placed WHERE NOT flag GROUP BY sample)
+    SELECT band_id, 'dirty' AS product, x, y, round({DIRTY} / sum(weight), 6) + 0 AS value FROM p, pixels GROUP BY band_id, x, y
+    UNION ALL SELECT band_id, 'residual', x, y, round({DIRTY.replace("* (re", "* (rest_re").replace("im *", "rest_im *")} / sum(weight), 6) + 0 FROM p, pixels GROUP BY band_id, x, y
+    UNION ALL SELECT band_id, 'psf', x, y, round(sum(weight * cos{PHASE}) / sum(weight), 6) + 0 FROM p, wide GROUP BY band_id, x, y""")
+def image_data_products(spark, sf_dir):
+    """Dirty images, PSFs of twice the size and residuals of each band, from one scan."""
+    comps = spark.createDataFrame(COMPONENTS, "x int, y int, value double")
+    out = imaging.data_products(band_time(vis_of(spark, sf_dir)), NX, NX, CELL, ["band_id"], comps)
+    return rounded(out.select("band_id", "product", "x", "y", "value"), "band_id", "product", "x", "y")
+
+
 @query(f"{W}, {PIXELS} SELECT x, y, round(sum(weight * (re * cos{PHASE.replace('w * (', '0 * (')} - im * sin{PHASE.replace('w * (', '0 * (')})) / sum(weight), 4) + 0 AS value FROM vis, pixels WHERE NOT flag GROUP BY x, y")
 def gridded_dirty_image(spark, sf_dir):
     """The kernel gridder, to the four digits that it must agree to with the exact sum."""

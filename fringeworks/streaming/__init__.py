@@ -35,3 +35,19 @@ def running_mean(rows: DataFrame, keys: list[str], late: str | None = None) -> D
     kept = rows.filter("value IS NOT NULL AND weight IS NOT NULL")
     w = F.sum("weight")
     return kept.groupBy(*keys).agg((F.sum(F.col("value") * F.col("weight")) / F.nullif(w, F.lit(0.0))).alias("value"), w.alias("weight"))
+
+
+def block_means(rows: DataFrame, keys: list[str], every: str, late: str | None = None) -> DataFrame:
+    """(keys, start, value, weight, n, rms): weighted mean and deviation in blocks of time of length ``every``.
+
+    rows: keys, ts (timestamp), value, weight.  On a stream give ``late``, by how
+    much rows may come late; a block is appended once it is complete, and the state
+    is four sums for each open block.  Rows with a null ts, value or weight are
+    left out; a block without weight has a null mean.
+    """
+    kept = rows.select(*keys, F.col("ts").cast("timestamp").alias("ts"), "value", "weight").filter("ts IS NOT NULL AND value IS NOT NULL AND weight IS NOT NULL")
+    if late is not None:
+        kept = kept.withWatermark("ts", late)
+    w, v = F.col("weight"), F.col("value")
+    sums = kept.groupBy(*keys, F.window("ts", every).alias("block")).agg(F.sum(w * v).alias("wv"), F.sum(w).alias("weight"), F.count("*").alias("n"), F.stddev_pop(v).alias("rms"))
+    return sums.select(*keys, F.col("block.start").alias("start"), (F.col("wv") / F.nullif(F.col("weight"), F.lit(0.0))).alias("value"), "weight", "n", "rms")

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from ._shared import stored
 from ._worker import tidy
 
-#: Rows of a block, as a power of two; the depth of the recursion is bounded by it.
+#: Rows of a block, as a power of two.
 BLOCK = 9
+#: Suffixes that the recursion goes through in one go.
+DEPTH = 64
 SPACE = " \t\n\x0b\x0c\r"
 
 #: Costs of the edits; a truncated row that stays costs TRUNCATED more.
@@ -64,6 +66,8 @@ def costs_of(signature: str, ends: tuple[int, ...]) -> list[tuple[int, ...]]:
             memo[i] = (min(own[0], INSERT + user), min(own[1], INSERT + user), user, answered)
         return memo[i]
 
+    for i in range(len(signature), 0, -DEPTH):
+        costs(i)  # answers on the way bound the depth of the recursion
     costs(0)
     return [memo[i] for i in range(len(signature) + 1)]
 

@@ -180,6 +180,13 @@ def test_repair_of_one_long_conversation(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_repair(rows)
 
 
+def test_costs_of_long_signatures():
+    signature = "".join(random.Random(1).choices("suaxdSUAX", k=5000))
+    costs = repair.costs_of(signature, repair.END)
+    audit, state = repair.audit_of(signature, costs, 0, True)
+    assert len(costs) == 5001 and state in (0, 3) and len(audit.replace("I", "")) == 5000
+
+
 def test_repair_of_no_rows(spark):
     assert repair.repaired(repair.damaged(spark.createDataFrame([], TALKS))).collect() == []
     lost = spark.createDataFrame([(4, 0, "user", "Hi.", True)], "conv_id long, turn long, role string, text string, lost boolean")

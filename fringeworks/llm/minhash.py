@@ -19,13 +19,17 @@ whose overlaps with them, i(x) and i(y), are known.  To be linked they need
   fixed order, with enough of them behind it to reach o(x, y) with i(x), i(y).
 
 Both are joins on keys, with the hub and a class of sizes or with the hub and a
-shingle, of the members outside the hub's component with the others; what they
-find is compared too.  No pair of a bucket is left undecided, and no group of
-any size is gone through pair by pair.
+shingle, of the members outside the hub's component with the others.  Within the
+joins the signatures of two members are looked at, a byte of each value: of linked
+ones fewer agree than ``least_agreeing`` says with a probability of one in a
+million, so only pairs that are linked or nearly so come out of the joins, and are
+compared by their full sets.  Members of one hub that are not linked with it
+are looked at pair by pair there, one class of sizes at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,8 +93,8 @@ def min_max(grams: np.ndarray, first: np.ndarray, permutations: int) -> np.ndarr
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE_WORDS, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
-    """Rows (doc_id, n_shingles, set_a, set_b, bands): size and 128-bit hash of the shingle set, and its bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """Rows (doc_id, n_shingles, set_a, set_b, bands, sketch): size and 128-bit hash of the shingle set, its bands, and a byte of each value."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
@@ -99,16 +103,27 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS, bands: int = BANDS,
             size = np.diff(first)
             sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(grams ^ U64(s)), dtype=U64)]) for s in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)]
             full = np.flatnonzero(size > 0)
-            keys = np.zeros((len(full), bands), np.int64)
+            keys, sketch = np.zeros((len(full), bands), np.int64), np.zeros(0, np.int8)
             if len(full):
                 values = min_max(grams, np.append(first[full], len(grams)), bands * per_band).reshape(len(full), bands, 2 * per_band)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=U64) * _SALT, keys.shape)
                 for k in range(2 * per_band):
                     key = mix(key ^ values[:, :, k]) + U64(k)
                 keys = key.view(np.int64)
-            yield table(schema, [batch.column(0), size, *((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums), list_of(keys.ravel(), np.concatenate([np.zeros(1, np.int64), np.cumsum((size > 0) * bands)]), pa.int64())])
+                sketch = (mix(values.ravel()) >> U64(56)).astype(np.uint8).view(np.int8)
+            yield table(schema, [batch.column(0), size, *((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums), *(list_of(x.ravel(), np.concatenate([np.zeros(1, np.int64), np.cumsum((size > 0) * each)]), kind) for x, each, kind in ((keys, bands, pa.int64()), (sketch, 2 * per_band * bands, pa.int8())))])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<tinyint>")
+
+
+def least_agreeing(values: int, percent: int = PERCENT) -> int:
+    """How many of the values of two linked documents agree but for a probability of one in a million: 4.75 deviations below the mean."""
+    share = percent / 100
+    return math.floor(values * share - 4.75 * math.sqrt(values * share * (1 - share)))
+
+
+def _agreeing(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, same: n + same)
 
 
 def confirmed(pairs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -178,10 +193,11 @@ def _class_of(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(CLASS)))
 
 
-def undecided_pairs(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def undecided_pairs(compared: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, values: int) -> DataFrame:
     """Pairs (a, b) that share a hub, are in different components, and may be linked for all that is known.
 
     compared: what ``confirmed`` gives for pairs of a hub a and a member b.
+    sketches: doc, sketch, with a byte of each of so many values.
     """
     label = F.coalesce("root", "b")
     members = compared.join(roots.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.col("nb").alias("n"), F.col("both").alias("i"), label.alias("label"), "rest", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("likeness"))
@@ -190,7 +206,8 @@ def undecided_pairs(compared: DataFrame, roots: DataFrame, percent: int) -> Data
     # two members whose likest hub is the same one are decided there
     home = members.groupBy("doc").agg(F.max_by("hub", F.struct("likeness", -F.col("hub"))).alias("home"))
     open_ = stored(members.drop("likeness").join(several, "hub").join(home, "doc"), "open")
-    light = open_.drop("rest")
+    light = open_.drop("rest").join(sketches, "doc")
+    alike = _agreeing(F.col("sketch"), F.col("sketch_y")) >= least_agreeing(values, percent)
     other = lambda df: df.select(*(F.col(c).alias({"hub": "of"}.get(c, c) if c in ("hub", "class", "gram") else f"{c}_y") for c in df.columns if c != "main"))
     once = (F.col("label_y") == F.col("main")) | (F.col("doc") < F.col("doc_y"))
     here = (F.col("label") != F.col("label_y")) & once & ((F.col("home") != F.col("home_y")) | (F.col("home") == F.col("hub")))
@@ -205,15 +222,15 @@ def undecided_pairs(compared: DataFrame, roots: DataFrame, percent: int) -> Data
     minor = sized.filter("label <> main").withColumn("class", F.explode(reach))
     minor = minor.filter(enough(F.col("n"), F.floor(F.pow(F.lit(CLASS), F.col("class"))) - 1, F.col("i")))
     y = other(sized).withColumnRenamed("class", "class_y")
-    inner = minor.join(y, (F.col("hub") == F.col("of")) & (F.col("class") == F.col("class_y")) & here & near & enough(F.col("n"), F.col("n_y"), F.least("i", "i_y"))).select(*pair)
+    inner = minor.join(y, (F.col("hub") == F.col("of")) & (F.col("class") == F.col("class_y")) & here & near & enough(F.col("n"), F.col("n_y"), F.least("i", "i_y")) & alike).select(*pair)
 
     # beyond the hub: one of the first shingles that it lacks; the first one in common leaves ``left`` more at most
     grams = open_.select("hub", "doc", "n", "i", "label", "main", "home", F.posexplode("rest").alias("place", "gram")).withColumn("left", F.col("n") - F.col("i") - F.col("place") - 1).drop("place")
     common = grams.groupBy("hub", "gram").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min("home").alias("h"), F.max("home").alias("k")).filter("p < q and (h < k or h = hub)").select("hub", "gram")
-    grams = grams.join(common, ["hub", "gram"], "left_semi")
+    grams = grams.join(common, ["hub", "gram"], "left_semi").join(sketches, "doc")
     y = other(grams).withColumnRenamed("gram", "gram_y")
     possible = enough(F.col("n"), F.col("n_y"), F.least("i", "i_y") + 1 + F.least("left", "left_y"))
-    outer = grams.filter("label <> main").join(y, (F.col("hub") == F.col("of")) & (F.col("gram") == F.col("gram_y")) & here & near & possible).select(*pair)
+    outer = grams.filter("label <> main").join(y, (F.col("hub") == F.col("of")) & (F.col("gram") == F.col("gram_y")) & here & near & possible & alike).select(*pair)
     return inner.union(outer).distinct()
 
 
@@ -231,13 +248,13 @@ def components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCE
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     keys = ["n_shingles", "set_a", "set_b"]
     signed = stored(signatures(plain, width, bands), "signatures")
-    light = signed.drop("bands")
+    light = signed.drop("bands", "sketch")
     one = light.filter("doc_id is not null").groupBy("doc_id").agg(*(f(c).alias(f"{c}_{k}") for c in keys for k, f in (("p", F.min), ("q", F.max))))
     if one.filter(" or ".join(f"{c}_p < {c}_q" for c in keys)).take(1):  # one doc_id, several texts
         whole = components(plain.filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")), width, percent, bands)
         return light.select("doc_id", "n_shingles").join(whole.drop("n_shingles"), "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    sets = stored(full.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")), "sets")
+    sets = stored(full.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
     each = sets.select("doc_id", F.explode("bands").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     met = stored(each.join(sizes, "bucket"), "buckets")
@@ -247,7 +264,8 @@ def components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCE
     held = stored(plain.join(met.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     compared = stored(confirmed(with_texts(pairs, held), width, percent), "compared")
     roots = smallest_reachable(compared.filter("linked"))
-    more = stored(undecided_pairs(compared, roots, percent), "undecided")
+    sketches = sets.select(F.col("doc_id").alias("doc"), "sketch")
+    more = stored(undecided_pairs(compared, roots, sketches, percent, 2 * PER_BAND * bands), "undecided")
     links = compared.filter("linked").select("a", "b")
     if more.take(1):
         found = stored(confirmed(with_texts(more, held), width, percent).filter("linked").select("a", "b"), "found")

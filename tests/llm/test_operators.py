@@ -450,3 +450,33 @@ def test_very_long_texts(spark):
     assert {r.doc_id: r.n_words for r in quality.quality(docs).collect()} == {0: 300_000, 1: 300_001, 2: 1, 3: 2}
     assert {r.doc_id: sum(s.end - s.start for s in r.spans) for r in substring.remove_repeats(docs).collect()} == {0: 0, 1: 300_000, 2: 0, 3: 0}
     assert all(0 <= r.score <= 1 for r in langid.predict(docs, {"x": np.full(langid.Pieces("piece_bpe_32k.model").size, 1e-4)}).collect())
+
+
+def test_undecided_pairs_of_selections(spark, monkeypatch):
+    """Of documents that select paragraphs of one long document, none alike, few pairs are left to compare in full."""
+    r = random.Random(0)
+    paragraphs = [" ".join(f"w{r.randrange(5000)}" for _ in range(60)) for _ in range(60)]
+    texts = ["\n".join(paragraphs)] + ["\n".join(paragraphs[k] for k in sorted(r.sample(range(60), 38))) for _ in range(60)]
+    texts.append(texts[1].replace(" ", " x ", 40))  # a near copy of a selection
+    made, stored = [], minhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made.extend([out.count()] if name == "undecided" else [])
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    got = result(minhash.components(frame(spark, texts)))
+    assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == brute_components(dict(enumerate(texts)))
+    assert made[0] <= len(texts)
+
+
+def test_signatures_of_linked_documents_agree():
+    """The bound that undecided pairs are held to leaves out no pair at the threshold."""
+    r = np.random.default_rng(1)
+    least = minhash.least_agreeing(160)
+    for _ in range(200):
+        both, own = r.integers(0, 2**63, 600, dtype=np.int64).astype(np.uint64), r.integers(0, 2**63, 200, dtype=np.int64).astype(np.uint64)
+        sets = [np.concatenate([both, own[:100]]), np.concatenate([both, own[100:]])]  # 600 of 800
+        x, y = (minhash.min_max(s, np.array([0, len(s)]), 80)[0] for s in sets)
+        assert (x == y).sum() >= least

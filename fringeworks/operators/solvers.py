@@ -1,9 +1,9 @@
-"""Convolution, Hessians, linear solvers, CLEAN and proximal methods.
+"""CLEAN, primal-dual steps, beams and wavelets.
 
-Bands are independent in convolutions and linear solves: each is one group of a
-grouped Arrow function that works on a dense image of set size.  Methods that
-couple bands loop on the driver over DataFrames, each step a plan, with tables
-that cut the lineage.
+Convolutions of images of any size, and the solvers that rest on them, are in
+``tiles``.  What is done here band by band is one group of a grouped Arrow function
+that works on a dense image of set size; methods that couple bands loop on the
+driver over DataFrames, each step a plan, with tables that cut the lineage.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import discard, stored
+from . import tiles
 from .images import soft
 
 
@@ -58,65 +59,12 @@ def gaussian_kernel(n: int, major: float, minor: float, angle: float, normalise:
     return g / g.sum() if normalise else g
 
 
-def psf_convolve(images: DataFrame, psf: np.ndarray, nx: int, ny: int) -> DataFrame:
-    hat = kernel_transform(psf)
-    return by_band(images, lambda c: {"value": convolve(c["value"], hat, psf.shape)}, ["value"], nx, ny, ["value"])
-
-
 def hessian(psf: np.ndarray, eta: float, beam: np.ndarray | float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
     """x -> beam * (|PSF| conv (beam * x)) + eta x; the transform's modulus keeps it positive."""
     hat = np.abs(kernel_transform(psf))
     return lambda x: beam * convolve(beam * x, hat, psf.shape) + eta * x
 
 
-def conjugate_gradient(a: Callable, b: np.ndarray, tol: float = 1e-8, most: int = 200, least: int = 1) -> np.ndarray:
-    """Solves a(x) = b; ends on small steps, or after five steps that change nothing."""
-    x = np.zeros_like(b)
-    r = -b
-    p, eps, stalled = -r, 1.0, 0
-    rr = (r * r).sum()
-    for k in range(most):
-        if (eps <= tol and k >= least) or stalled >= 5 or rr == 0:
-            break
-        ap = a(p)
-        alpha = rr / (p * ap).sum()
-        last, x = x, x + alpha * p
-        r = r + alpha * ap
-        new = (r * r).sum()
-        p, rr = new / rr * p - r, new
-        before, eps = eps, np.linalg.norm(x - last) / max(np.linalg.norm(x), 1e-30)
-        stalled += abs(before - eps) < 1e-3 * tol
-    return x
-
-
-def solve(images: DataFrame, psf: np.ndarray, eta: float, nx: int, ny: int) -> DataFrame:
-    """H^-1 of each band's image."""
-    return by_band(images, lambda c: {"value": conjugate_gradient(hessian(psf, eta), c["value"])}, ["value"], nx, ny, ["value"])
-
-
-def spectral_norm(a: Callable, shape: tuple[int, int], tol: float = 1e-7, most: int = 200) -> float:
-    """Largest eigenvalue by the power method, from a fixed start."""
-    b = np.cos(np.arange(shape[0] * shape[1], dtype=float)).reshape(shape) + 1.5
-    b /= np.linalg.norm(b)
-    beta = 1.0
-    for _ in range(most):
-        new = a(b)
-        last, beta = beta, (b * new).sum() / (b * b).sum()
-        b = new / np.linalg.norm(new)
-        if abs(beta - last) / abs(last) < tol:
-            break
-    return beta
-
-
-def spectral_norms(images: DataFrame, psf: np.ndarray, eta: float, nx: int, ny: int) -> DataFrame:
-    """The Hessian's norm for each band."""
-
-    def run(t: pa.Table) -> pa.Table:
-        return pa.table({"band": pa.array([t.column("band")[0].as_py()], pa.int32()), "norm": [spectral_norm(hessian(psf, eta), (nx, ny))]})
-
-    return images.groupBy("band").applyInArrow(run, "band int, norm double")
-
-
 def hogbom(residual: DataFrame, psf: np.ndarray, gain: float, threshold: float, most: int, share: float = 0.0, active: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(model, residual) of CLEAN on (band, x, y, value): the peak of the squared sum over bands, shifted kernels subtracted.
 
@@ -202,17 +150,21 @@ def _unfinished(name: str, rounds: int, left: float) -> None:
     warnings.warn(f"{name}: not converged after {rounds} rounds, {left:.3e} left", RuntimeWarning, stacklevel=3)
 
 
-def clark(residual: DataFrame, psf: np.ndarray, nx: int, ny: int, gain: float = 0.05, minor: float = 0.5, threshold: float = 0.0, share: float = 0.05, majors: int = 50, steps: int = 1000) -> DataFrame:
+def clark(residual: DataFrame, psf: np.ndarray, gain: float = 0.05, minor: float = 0.5, threshold: float = 0.0, share: float = 0.05, majors: int = 50, steps: int = 1000, tile: int = tiles.TILE) -> DataFrame:
     """CLEAN in major and minor cycles to ``share`` of the first peak of the sum over bands, or ``threshold``; warns if it ends above.
 
     Minor steps take the peak of the squared sum over bands among the pixels above
     a share of it, and update every band there; they run on the driver, which holds
-    these pixels and the model.  Major cycles subtract the model from all pixels.
+    these pixels and the model.  Major cycles subtract the model from all pixels, in
+    tiles.  How low a share can be reached depends on the kernel: what a wide one
+    cannot show stays in the residual.
     """
-    spark, (px, py), top, hat = residual.sparkSession, psf.shape, float(psf.max()), kernel_transform(psf)
+    spark, (px, py), top = residual.sparkSession, psf.shape, float(psf.max())
     dirty = stored(residual.select("band", "x", "y", F.col("value").cast("double").alias("value")), "dirty")
     bands = [r[0] for r in dirty.select("band").distinct().orderBy("band").collect()]
     row = {b: k for k, b in enumerate(bands)}
+    pixels = spark.createDataFrame([(i - px // 2, j - py // 2, float(psf[i, j])) for i in range(px) for j in range(py)], "dx int, dy int, value double")
+    kernel = tiles.Kernel.of(dirty.select("band").distinct().crossJoin(pixels), dirty, tile)
     model: dict[tuple[int, int], np.ndarray] = {}
     state, goal = dirty, None
     flux = lambda: spark.createDataFrame([(b, x, y, float(v[row[b]])) for (x, y), v in model.items() for b in bands], "band int, x int, y int, model double")
@@ -243,30 +195,11 @@ def clark(residual: DataFrame, psf: np.ndarray, nx: int, ny: int, gain: float =
             i, j = x - x[q] + px // 2, y - y[q] + py // 2
             inside = (i >= 0) & (i < px) & (j >= 0) & (j < py)
             active[:, inside] -= new[:, None] * psf[i[inside], j[inside]]
-        seen = by_band(flux(), lambda c: {"seen": convolve(c["model"], hat, psf.shape)}, ["model"], nx, ny, ["seen"])
-        state = stored(dirty.join(seen, ["band", "x", "y"], "left").select("band", "x", "y", (F.col("value") - F.coalesce("seen", F.lit(0.0))).alias("value")), "residual")
+        both = dirty.join(flux(), ["band", "x", "y"], "left").select("band", "x", "y", F.col("value").alias("dirty"), (-F.coalesce("model", F.lit(0.0))).alias("value"))
+        state = stored(tiles.convolve(both, kernel, plus="dirty"), "residual")
     return state.join(flux(), ["band", "x", "y"], "left").select("band", "x", "y", F.coalesce("model", F.lit(0.0)).alias("model"), F.col("value").alias("residual"))
 
 
-def fista(images: DataFrame, psf: np.ndarray, nx: int, ny: int, step: float, rounds: int = 100, positive: bool = True) -> DataFrame:
-    """Accelerated proximal gradient of |b - Ax|^2 / 2 + step |x|_1 in each band."""
-    a = hessian(psf, 0.0)
-    norm = 1.05 * spectral_norm(a, (nx, ny))
-
-    def work(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        b = c["value"]
-        x = y = np.zeros_like(b)
-        t = 1.0
-        for _ in range(rounds):
-            z = y - (a(y) - b) / norm
-            new = np.maximum(z - step / norm, 0) if positive else np.sign(z) * np.maximum(np.abs(z) - step / norm, 0)
-            later = (1 + sqrt(1 + 4 * t * t)) / 2
-            y, x, t = new + (t - 1) / later * (new - x), new, later
-        return {"value": x}
-
-    return by_band(images, work, ["value"], nx, ny, ["value"])
-
-
 def relative_change(state: DataFrame, now: str, before: str) -> float:
     """Norm of the difference of two columns as a share of the first one's norm."""
     d = F.col(now) - F.col(before)
@@ -284,7 +217,7 @@ def primal_dual(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, bound: float
     pixel through a window, one shuffle for each round.
     """
     a = hessian(psf, 0.0)
-    norm = 1.05 * spectral_norm(a, (nx, ny)) / gamma
+    norm = float(np.abs(kernel_transform(psf)).max()) / gamma  # of the convolution, so of its part within the image at most
     sigma = norm / 2
     tau = 0.98 / (norm / 2 + sigma)
     pixels = Window.partitionBy("x", "y")
@@ -310,23 +243,6 @@ def primal_dual(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, bound: float
     return state.select("band", "x", "y", F.col("p").alias("value"))
 
 
-def forward_backward(cube: DataFrame, psf: np.ndarray, nx: int, ny: int, step: float, majors: int = 1000, tol: float = 1e-5) -> DataFrame:
-    """Major cycles of a flux update H^-1 r in each band and a joint threshold over the bands, until the model moves by ``tol`` of its norm; warns if it never does."""
-    a = hessian(psf, 0.0)
-    state = cube.select("band", "x", "y", F.col("value").alias("b"), F.lit(0.0).alias("m"))
-    change = 1.0
-    for _ in range(majors):
-        moved = by_band(state, lambda c: {"b": c["b"], "m": c["m"] + conjugate_gradient(hessian(psf, 0.05), c["b"] - a(c["m"])), "last": c["m"]}, ["b", "m"], nx, ny, ["b", "m", "last"])
-        size = F.abs(F.sum("m").over(Window.partitionBy("x", "y")))
-        state = stored(moved.withColumn("s", size).withColumn("m", F.when(F.col("s") > 0, F.greatest(F.col("m") * F.greatest(F.col("s") - step, F.lit(0.0)) / F.col("s"), F.lit(0.0))).otherwise(0.0)).drop("s"), "model")
-        change = relative_change(state, "m", "last")
-        if change <= tol:
-            break
-    else:
-        _unfinished("forward_backward", majors, change)
-    return state.select("band", "x", "y", F.col("m").alias("value"))
-
-
 def soft_threshold(images: DataFrame, step: float) -> DataFrame:
     return images.withColumn("value", soft(F.col("value"), step))
 
@@ -366,12 +282,10 @@ def fit_beams(psfs: DataFrame, nx: int, ny: int) -> DataFrame:
     return psfs.groupBy("band").applyInArrow(run, "band int, bmaj double, bmin double, bpa double")
 
 
-def restore(models: DataFrame, residuals: DataFrame, beam: tuple[float, float, float], nx: int, ny: int) -> DataFrame:
-    """model conv Gaussian (peak 1) + residual, for each band."""
-    n = 2 * max(nx, ny)
-    hat = kernel_transform(gaussian_kernel(n, *beam))
-    both = models.select("band", "x", "y", F.col("value").alias("model")).join(residuals.select("band", "x", "y", F.col("value").alias("residual")), ["band", "x", "y"], "full")
-    return by_band(both.na.fill(0.0), lambda c: {"value": convolve(c["model"], hat, (n, n)) + c["residual"]}, ["model", "residual"], nx, ny, ["value"])
+def restore(models: DataFrame, residuals: DataFrame, beams: tiles.Kernel) -> DataFrame:
+    """model conv its band's beam (peak 1) + residual, in tiles."""
+    both = models.select("band", "x", "y", "value").join(residuals.select("band", "x", "y", F.col("value").alias("residual")), ["band", "x", "y"], "full")
+    return tiles.convolve(both.na.fill(0.0), beams, plus="residual")
 
 
 # Wavelets --------------------------------------------------------------------

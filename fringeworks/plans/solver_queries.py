@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import images, solvers
+from ..operators import images, solvers, tiles
 from .image_queries import BANDS, BXY, bands_of
 from .registry import query, rounded
 
 N = 8
 #: Where CLEAN ends: a share of the first peak, and a limit of steps that it does not reach.
 HOGBOM_SHARE, HOGBOM_STEPS = 0.2, 2000
+#: Where clark ends, as a share of the first peak.
+CLARK_SHARE = 0.3
 PSF = solvers.gaussian_kernel(16, 3.0, 2.0, 0.4)
 
 
@@ -21,36 +23,63 @@ def _offsets(kernel: np.ndarray) -> str:
 
 
 _OFFSETS = _offsets(PSF)
-#: The kernel whose transform is the modulus of the PSF's.
-_POSITIVE = _offsets(np.fft.fftshift(np.fft.irfft2(np.abs(solvers.kernel_transform(PSF)))))
+#: A Gaussian kernel for each band, by the displacement from its centre.
+_KERNEL = "exp(-(0.3e0 + 0.02e0 * (band % 3)) * dx * dx - 0.5e0 * dy * dy)"
+_KERNELS = f"psfs AS (SELECT band, dx, dy, {_KERNEL} AS k FROM (SELECT DISTINCT band FROM bands), range(-8, 8) i(dx), range(-8, 8) j(dy))"
 
 
-def _convolved(source: str) -> str:
+def psfs_of(bands: DataFrame) -> DataFrame:
+    """(band, dx, dy, value): the kernels of the queries."""
+    side = F.explode(F.sequence(F.lit(-8), F.lit(7)))
+    grid = bands.select("band").distinct().select("band", side.alias("dx")).select("band", "dx", side.alias("dy"))
+    return grid.withColumn("value", F.expr(_KERNEL.replace("e0", "D").replace("0.02D * (band % 3)", "0.02D * pmod(band, 3)")))
+
+
+def _convolved(source: str, kernels: str = "psf", on: str = "TRUE") -> str:
     """SQL of a table's images less what leaves their frame."""
     return f"""(SELECT b.band, CAST(b.x + dx AS INT) AS x, CAST(b.y + dy AS INT) AS y, sum(b.value * k) AS value
-        FROM {source} b, psf WHERE b.x + dx BETWEEN 0 AND 7 AND b.y + dy BETWEEN 0 AND 7 GROUP BY ALL)"""
+        FROM {source} b JOIN {kernels} ON {on} WHERE b.x + dx BETWEEN 0 AND 7 AND b.y + dy BETWEEN 0 AND 7 GROUP BY ALL)"""
+
+
+_BY_BAND = _convolved("bands", "psfs p", "p.band = b.band")
+
+
+def _problem(spark, sf_dir, tile=N, eta=0.1):
+    """The images of all bands, and the Hessian of their kernels."""
+    bands = bands_of(spark, sf_dir)
+    return bands, tiles.Hessian(tiles.Kernel.of(psfs_of(bands), bands, tile), eta)
 
 
-@query(f"""{BANDS}, {_OFFSETS} SELECT b.band, CAST(b.x + dx AS INT) AS x, CAST(b.y + dy AS INT) AS y, round(sum(b.value * k), 6) + 0 AS value
-    FROM bands b, psf WHERE b.x + dx BETWEEN 0 AND 7 AND b.y + dy BETWEEN 0 AND 7 GROUP BY ALL""")
+@query(f"{BANDS}, {_KERNELS} SELECT band, x, y, round(value, 6) + 0 AS value FROM {_BY_BAND}")
 def psf_convolve(spark, sf_dir):
-    return rounded(solvers.psf_convolve(bands_of(spark, sf_dir), PSF, N, N), *BXY)
+    """In tiles of 4 x 4 pixels, each with a halo as wide as the image."""
+    bands, h = _problem(spark, sf_dir, 4)
+    return rounded(tiles.convolve(bands, h.kernel), *BXY)
 
 
-@query(f"{BANDS}, {_POSITIVE} SELECT band, x, y, round(c.value + 0.1e0 * b.value, 6) + 0 AS value FROM {_convolved('bands')} c JOIN bands b USING (band, x, y)")
+@query(f"{BANDS}, {_KERNELS} SELECT band, x, y, round(c.value + 0.1e0 * b.value, 6) + 0 AS value FROM {_BY_BAND} c JOIN bands b USING (band, x, y)")
 def hessian_apply(spark, sf_dir):
-    h = solvers.hessian(PSF, 0.1)
-    return rounded(solvers.by_band(bands_of(spark, sf_dir), lambda c: {"value": h(c["value"])}, ["value"], N, N, ["value"]), *BXY)
+    bands, h = _problem(spark, sf_dir)
+    return rounded(tiles.convolve(bands, h.kernel, eta=h.eta), *BXY)
 
 
 @query()
 def cg_solve(spark, sf_dir):
-    return rounded(solvers.solve(bands_of(spark, sf_dir), PSF, 0.1, N, N), *BXY)
+    return rounded(tiles.solve(*_problem(spark, sf_dir)), *BXY)
+
+
+@query(f"{BANDS}, {_KERNELS} SELECT band, x, y, round(value, 4) + 0 AS value FROM bands")
+def cg_round_trip(spark, sf_dir):
+    """The Hessian applied to the solution gives the right side back."""
+    bands, h = _problem(spark, sf_dir)
+    return rounded(tiles.convolve(tiles.solve(bands, h), h.kernel, eta=h.eta), *BXY, digits=4)
 
 
 @query()
 def power_norm(spark, sf_dir):
-    return rounded(solvers.spectral_norms(bands_of(spark, sf_dir), PSF, 0.1, N, N), "band")
+    """The largest eigenvalue of each band's Hessian."""
+    norms = tiles.spectral_norms(*_problem(spark, sf_dir))
+    return rounded(spark.createDataFrame([(b, v) for b, (v, _) in norms.items()], "band int, norm double"), "band")
 
 
 @query(f"""WITH RECURSIVE {BANDS[5:]}, start AS (SELECT list(value ORDER BY band, x, y) AS r, list(DISTINCT band ORDER BY band) AS ids FROM bands),
@@ -73,12 +102,17 @@ def hogbom_small(spark, sf_dir):
 
 @query()
 def clark(spark, sf_dir):
-    return rounded(solvers.clark(bands_of(spark, sf_dir), PSF, N, N), *BXY)
+    return rounded(solvers.clark(bands_of(spark, sf_dir), PSF, share=CLARK_SHARE, tile=N), *BXY)
+
+
+@query()
+def nnls(spark, sf_dir):
+    return rounded(tiles.nnls(*_problem(spark, sf_dir)), *BXY, digits=4)
 
 
 @query()
 def fista(spark, sf_dir):
-    return rounded(solvers.fista(bands_of(spark, sf_dir), PSF, N, N, 0.01), *BXY)
+    return rounded(tiles.fista(*_problem(spark, sf_dir), 0.01), *BXY, digits=4)
 
 
 @query()
@@ -88,7 +122,7 @@ def primal_dual(spark, sf_dir):
 
 @query()
 def forward_backward(spark, sf_dir):
-    return rounded(solvers.forward_backward(bands_of(spark, sf_dir), PSF, N, N, 0.01), *BXY)
+    return rounded(tiles.forward_backward(*_problem(spark, sf_dir), 0.01), *BXY, digits=4)
 
 
 @query()
@@ -106,7 +140,9 @@ def fit_beam(spark, sf_dir):
 @query(f"{BANDS}, {_OFFSETS}, positive AS (SELECT band, x, y, greatest(value, 0) AS value FROM bands) SELECT band, x, y, round(c.value + b.value, 6) + 0 AS value FROM {_convolved('positive')} c JOIN bands b USING (band, x, y)")
 def restore(spark, sf_dir):
     b = bands_of(spark, sf_dir)
-    return rounded(solvers.restore(images.positive(b, ["x", "y"], 1), b, (3.0, 2.0, 0.4), N, N), *BXY)
+    beam = spark.createDataFrame([(i - 8, j - 8, float(PSF[i, j])) for i in range(16) for j in range(16)], "dx int, dy int, value double")
+    beams = tiles.Kernel.of(b.select("band").distinct().join(F.broadcast(beam)), b, N)  # one beam of 256 pixels for all bands
+    return rounded(solvers.restore(images.positive(b, ["x", "y"], 1), b, beams), *BXY)
 
 
 @query(f"{BANDS} SELECT band, x, y, round(value * 6, 6) + 0 AS value FROM bands")

@@ -4,7 +4,7 @@ import warnings
 
 import numpy as np
 import pytest
-from fringeworks.operators import images, solvers
+from fringeworks.operators import images, solvers, tiles
 
 N = 8
 PSF = solvers.gaussian_kernel(16, 1.5, 1.2, 0.4)
@@ -73,11 +73,91 @@ def test_hogbom_without_steps(spark):
         assert model.count() == 0 and residual.count() == n
 
 
+def kernels(spark, psfs, n=16):
+    rows = [(b, i - n // 2, j - n // 2, float(p[i, j])) for b, p in enumerate(psfs) for i in range(n) for j in range(n)]
+    return spark.createDataFrame(rows, "band int, dx int, dy int, value double")
+
+
+#: A kernel for each band, and the plain convolutions.
+PSFS = [solvers.gaussian_kernel(16, 1.5 + 0.5 * b, 1.2, 0.4) for b in range(2)]
+
+
+def seen(images, eta=0.0):
+    return np.stack([solvers.convolve(v, solvers.kernel_transform(p), p.shape) + eta * v for v, p in zip(images, PSFS)])
+
+
+@pytest.mark.parametrize("tile", [3, 4, 16])
+def test_convolution_in_tiles(spark, tile):
+    """Kernels wider than tiles and images, tiles that are not full, pixels that the image lacks, and a band without a kernel."""
+    sky = np.random.default_rng(2).normal(size=(3, N, N))
+    rows = cube(spark, sky).filter("not (x = 2 and y > 4)").withColumn("more", images.F.col("x") * 1.0)
+    kernel = tiles.Kernel.of(kernels(spark, PSFS), rows, tile)
+    sky[:, 2, 5:] = 0
+    want = np.concatenate([seen(sky[:2]), np.zeros((1, N, N))]) + 0.5 * sky + np.arange(N)[None, :, None]
+    want[:, 2, 5:] = 0
+    assert np.allclose(dense(tiles.convolve(rows, kernel, plus="more", eta=0.5), bands=3), want)
+
+
+def test_convolution_of_an_image_of_many_tiles(spark):
+    """4096 tiles that no task holds together: the sum of an impulse's copies stays, and far pixels see nothing."""
+    from pyspark.sql import functions as F
+
+    side = spark.range(512)
+    rows = side.select(F.col("id").cast("int").alias("x")).crossJoin(side.select(F.col("id").cast("int").alias("y")))
+    image = rows.select(F.lit(0).alias("band"), "x", "y", F.when((F.col("x") % 64 == 32) & (F.col("y") % 64 == 32), 1.0).otherwise(0.0).alias("value"))
+    kernel = tiles.Kernel.of(kernels(spark, PSFS[:1]), image, 8)
+    out = tiles.convolve(image, kernel)
+    want = F.element_at(F.create_map(*(F.lit(v) for i in range(16) for j in range(16) for v in (i * 16 + j, float(PSFS[0][i, j])))), (F.col("x") % 64 - 24) * 16 + F.col("y") % 64 - 24)
+    near = F.col("x").between(0, 511) & (F.col("x") % 64).between(24, 39) & (F.col("y") % 64).between(24, 39)
+    wrong = out.filter(F.abs(F.col("value") - F.when(near, want).otherwise(0.0)) > 1e-12)
+    assert out.count() == 512 * 512 and wrong.count() == 0
+
+
+def test_conjugate_gradients_and_norms(spark):
+    """Residuals of 1e-8 with a beam, and eigenvalues of the dense matrix."""
+    from pyspark.sql import functions as F
+
+    sky = np.random.default_rng(4).normal(size=(2, N, N))
+    beam = 1 / (1 + 0.05 * np.arange(N))[:, None] * np.ones(N)
+    rows = cube(spark, sky).withColumn("beam", 1 / (1 + 0.05 * F.col("x")))
+    a = tiles.Hessian(tiles.Kernel.of(kernels(spark, PSFS), rows, N), 0.2)
+    x = dense(tiles.solve(rows, a))
+    apply = lambda v: beam * seen(beam * v) + 0.2 * v
+    assert np.linalg.norm(apply(x) - sky) <= 1e-8 * np.linalg.norm(sky)
+    got = tiles.spectral_norms(rows, a)
+    for b in range(2):
+        matrix = np.stack([apply(np.stack([e.reshape(N, N)] * 2))[b].ravel() for e in np.eye(N * N)])
+        assert abs(got[b][0] - np.linalg.eigvalsh(matrix)[-1]) <= 1e-6
+    with pytest.warns(RuntimeWarning, match="solve"):
+        tiles.solve(rows, a, most=2)
+
+
+def optimal(spark, solve, **more):
+    b = np.random.default_rng(5).normal(size=(2, N, N))
+    rows = cube(spark, b)
+    x = dense(solve(rows, tiles.Hessian(tiles.Kernel.of(kernels(spark, PSFS), rows, N), 0.2), **more))
+    return x, seen(x, 0.2) - b
+
+
+def test_nnls_meets_its_conditions(spark):
+    x, slope = optimal(spark, tiles.nnls)
+    assert (x >= 0).all() and (x > 0).any() and np.abs(np.minimum(x, slope)).max() < 1e-4
+
+
 def test_fista_is_optimal(spark):
-    b = np.random.default_rng(5).normal(size=(N, N))
-    x = dense(solvers.fista(cube(spark, [b]), PSF, N, N, 0.1, rounds=2000), bands=1)[0]
-    gradient = solvers.hessian(PSF, 0.0)(x) - b + 0.1
-    assert np.abs(np.minimum(x, gradient)).max() < 1e-3
+    x, slope = optimal(spark, tiles.fista, weight=0.1)
+    assert (x >= 0).all() and np.abs(np.minimum(x, slope + 0.1)).max() < 1e-4
+    x, slope = optimal(spark, tiles.fista, weight=0.1, positive=False)
+    assert np.abs(np.where(x == 0, np.maximum(np.abs(slope) - 0.1, 0), slope + 0.1 * np.sign(x))).max() < 1e-4
+
+
+def test_forward_backward_is_optimal(spark):
+    """The bands of a pixel share a threshold; a band that is zero in a pixel that is not has a slope of zero at least."""
+    x, slope = optimal(spark, tiles.forward_backward, weight=0.3)
+    size = np.sqrt((x**2).sum(0))
+    on = np.where(x > 0, slope + 0.3 * x / np.maximum(size, 1e-30), np.minimum(slope, 0))
+    off = np.maximum(np.sqrt((np.minimum(slope, 0) ** 2).sum(0)) - 0.3, 0)
+    assert (x >= 0).all() and (size == 0).any() and np.where(size > 0, np.abs(on).max(0), off).max() < 1e-4
 
 
 def test_clark_takes_the_peak_of_the_sum_over_bands(spark):
@@ -86,13 +166,13 @@ def test_clark_takes_the_peak_of_the_sum_over_bands(spark):
     sky[:, 2, 2], sky[0, 5, 5], sky[1, 5, 5] = 1.0, 1.5, -1.5
     hat = solvers.kernel_transform(PSF)
     dirty = [solvers.convolve(v, hat, PSF.shape) for v in sky]
-    got = solvers.clark(cube(spark, dirty), PSF, N, N).cache()
+    got = solvers.clark(cube(spark, dirty), PSF, tile=4).cache()
     model, residual = dense(got, "model"), dense(got, "residual")
     assert np.allclose(model[:, 2, 2], 1.0, atol=0.1) and not model[:, 5, 5].any()
     assert np.abs(residual.sum(0)).max() <= 0.05 * np.abs(np.sum(dirty, 0)).max()
     assert np.allclose(residual, [d - solvers.convolve(m, hat, PSF.shape) for d, m in zip(dirty, model)])
     with pytest.warns(RuntimeWarning, match="clark"):
-        solvers.clark(cube(spark, dirty), PSF, N, N, majors=1)
+        solvers.clark(cube(spark, dirty), PSF, majors=1)
 
 
 def test_primal_dual_is_optimal(spark):
@@ -103,16 +183,6 @@ def test_primal_dual_is_optimal(spark):
     assert np.abs(np.minimum(x, gradient)).max() < 1e-3
 
 
-def test_forward_backward_is_a_fixed_point(spark):
-    b = np.random.default_rng(1).normal(size=(2, N, N))
-    m = dense(solvers.forward_backward(cube(spark, b), PSF, N, N, 0.1))
-    a = solvers.hessian(PSF, 0.0)
-    moved = np.stack([y + solvers.conjugate_gradient(solvers.hessian(PSF, 0.05), v - a(y)) for v, y in zip(b, m)])
-    s = np.abs(moved.sum(0))
-    again = np.maximum(moved * np.maximum(s - 0.1, 0) / s, 0)
-    assert np.linalg.norm(again - m) <= 2e-5 * np.linalg.norm(m)
-
-
 def test_sessions_of_a_stream_are_those_of_the_table(spark, tmp_path):
     from fringeworks.streaming import session_statistics
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import C, image_size, unix_time
-from ..operators import imaging, visibility, weighting
+from ..operators import imaging, visibility, weighting, wgrid
 from ..sources import VIS_SQL, read, vis_of
 from .registry import query, rounded
 
@@ -348,6 +348,27 @@ def gridded_dirty_image(spark, sf_dir):
     return rounded(imaging.normalised(imaging.gridded_image(vis, NX, NX, CELL, width=12), imaging.weight_sums(vis)), "x", "y", digits=4)
 
 
+#: A field so wide that the w term turns phases by radians.
+WIDE_CELL = 0.01
+_WIDE_PIXELS, _WIDE_MODEL = (x.replace(f"* {CELL!r} AS", f"* {WIDE_CELL!r} AS") for x in (PIXELS, MODEL))
+
+
+@query(f"{BT}, {_WIDE_PIXELS} SELECT band_id, x, y, round({DIRTY} / sum(weight), 5) + 0 AS value FROM bt, pixels WHERE NOT flag GROUP BY band_id, x, y")
+def wide_field_image(spark, sf_dir):
+    """The gridder with planes of w, for each band, to five digits of the exact sum."""
+    vis = band_time(vis_of(spark, sf_dir))
+    image = wgrid.image(vis, wgrid.Geometry(NX, NX, WIDE_CELL, 12, 16), ["band_id"])
+    return rounded(imaging.normalised(image, imaging.weight_sums(vis, ["band_id"]), ["band_id"]), "band_id", "x", "y", digits=5)
+
+
+@query(f"{W}, {_WIDE_MODEL}, {_SAMPLES} SELECT any_value(row_id) AS row_id, round(sum(flux * cos{_CPHASE}), 5) + 0 AS p_re, round(-sum(flux * sin{_CPHASE}), 5) + 0 AS p_im FROM samples, placed GROUP BY sample")
+def wide_field_predict(spark, sf_dir):
+    """A model's visibilities from planes of w, to five digits of the exact sum."""
+    model = spark.createDataFrame(COMPONENTS, "x int, y int, value double")
+    vis = vis_of(spark, sf_dir).select("row_id", "u", "v", "w", "freq")
+    return rounded(wgrid.degridded(vis, model, wgrid.Geometry(NX, NX, WIDE_CELL, 12, 16)).select("row_id", "p_re", "p_im"), "row_id", digits=5)
+
+
 @query(f"{W}, r AS (SELECT *, 0.002e0 AS l, -0.001e0 AS m FROM vis) SELECT row_id, round(re * cos{PHASE} - im * sin{PHASE}, 6) + 0 AS re, round(re * sin{PHASE} + im * cos{PHASE}, 6) + 0 AS im FROM r")
 def rephase_vis(spark, sf_dir):
     return rounded(visibility.rephase(vis_of(spark, sf_dir), 0.002, -0.001).select("row_id", "re", "im"), "row_id")

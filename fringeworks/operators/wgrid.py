@@ -245,8 +245,8 @@ def degridded(vis: DataFrame, model: DataFrame, g: Geometry) -> DataFrame:
     columns = model.select(F.col("x").cast("int"), F.col("y").cast("int"), F.col("value").cast("double")).withColumn("ty", F.floor(F.col("y") / T).cast("int"))
     each = columns.withColumn("plane", F.explode(planes))
     grid = each.groupBy("plane", "ty").applyInArrow(along_u, _ddl(strips)).groupBy("plane", "tu").applyInArrow(along_v, _ddl(tiles))
-    # a sample asks up to two tiles along each axis on each of its planes
-    touched = lambda t, place: F.array_distinct(F.array(*(F.floor((F.floor(place) + int(r)) / T).cast("int") for r in (g.reach[0], g.reach[-1]))))
+    # a sample asks the tiles of all its cells, on each of its planes
+    touched = lambda t, place: F.array_distinct(F.array(*(F.floor((F.floor(place) + int(r)) / T).cast("int") for r in sorted({*range(g.reach[0], g.reach[-1], T), g.reach[-1]}))))
     pu, pv, _ = g.places(*(F.col(c) for c in ("u", "v", "w", "freq")))
     asks = where.withColumn("plane", F.explode(F.sequence(F.col("p_") + int(g.reach[0]), F.col("p_") + int(g.reach[-1]))))
     asks = asks.withColumn("tu", F.explode(touched("tu_", pu))).withColumn("tv", F.explode(touched("tv_", pv)))

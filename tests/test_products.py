@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from fringeworks import streaming
-from fringeworks.operators import bookkeeping, components, products, solvers, visibility, wavelets
+from fringeworks.operators import bookkeeping, components, products, solvers, tiles, visibility, wavelets
 
 UNIT = {"linear": {"I": [[1, 0], [0, 1]], "Q": [[1, 0], [0, -1]], "U": [[0, 1], [1, 0]], "V": [[0, 1j], [-1j, 0]]}, "circular": {"I": [[1, 0], [0, 1]], "Q": [[0, 1], [1, 0]], "U": [[0, 1j], [-1j, 0]], "V": [[1, 0], [0, -1]]}}
 CELLS = [(0, 0), (0, 1), (1, 0), (1, 1)]
@@ -147,10 +147,12 @@ def test_solvers_solve(spark):
     image = rng.normal(size=(8, 8))
     rows = spark.createDataFrame([(0, x, y, float(image[x, y])) for x in range(8) for y in range(8)], "band int, x int, y int, value double")
     h, got = solvers.hessian(psf, 0.1), np.zeros((8, 8))
-    for r in solvers.solve(rows, psf, 0.1, 8, 8).collect():
+    kernel = spark.createDataFrame([(0, i - 8, j - 8, float(psf[i, j])) for i in range(16) for j in range(16)], "band int, dx int, dy int, value double")
+    a = tiles.Hessian(tiles.Kernel.of(kernel, rows, 8), 0.1)
+    for r in tiles.solve(rows, a).collect():
         got[r.x, r.y] = r.value
     assert np.linalg.norm(h(got) - image) < 1e-3 * np.linalg.norm(image)
-    norm = solvers.spectral_norms(rows, psf, 0.1, 8, 8).first().norm
+    norm = tiles.spectral_norms(rows, a)[0][0]
     dense = np.array([h(e.reshape(8, 8)).ravel() for e in np.eye(64)])
     assert abs(norm / np.linalg.eigvalsh((dense + dense.T) / 2)[-1] - 1) < 1e-3
     beam = solvers.gaussian_kernel(32, 5.0, 3.0, 0.6)

@@ -19,7 +19,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import discard, stored
@@ -32,27 +32,30 @@ HELD = 32
 Blocks = dict[str, np.ndarray]
 
 
-def pack(images: DataFrame, columns: list[str], x: str = "x", y: str = "y", tile: int = TILE) -> DataFrame:
-    """Rows (tx, ty, band, inside, ...), one for each tile: the columns' pixels as bytes of doubles, inside being 1 where the image has one."""
+def pack(images: DataFrame, columns: list[str], x: str = "x", y: str = "y", tile: int = TILE, by: tuple[str, ...] = ("band",)) -> DataFrame:
+    """Rows (tx, ty, band, inside, ...), one for each tile: the columns' pixels as bytes of doubles, inside being 1 where the image has one.
+
+    by: the integers that tell images apart.
+    """
     names = ["inside", *columns]
-    schema = pa.schema([(c, pa.int32()) for c in ("tx", "ty", "band")] + [(c, pa.binary()) for c in names])
+    schema = pa.schema([(c, pa.int32()) for c in ("tx", "ty", *by)] + [(c, pa.binary()) for c in names])
 
     def packed(key: tuple, t: pa.Table) -> pa.Table:
-        tx, ty, band = (k.as_py() for k in key)
+        tx, ty, *whose = (k.as_py() for k in key)
         at, blocks = (t.column(x).to_numpy() - tx * tile, t.column(y).to_numpy() - ty * tile), []
         for values in [np.ones(t.num_rows), *(t.column(c).to_numpy() for c in columns)]:
             block = np.zeros((tile, tile))
             block[at] = values
             blocks.append([block.tobytes()])
-        return pa.table([[tx], [ty], [band], *blocks], schema=schema)
+        return pa.table([[tx], [ty], *([k] for k in whose), *blocks], schema=schema)
 
     place = [F.floor(F.col(c) / tile).cast("int").alias(name) for c, name in ((x, "tx"), (y, "ty"))]
-    rows = images.select(*place, F.col("band").cast("int"), x, y, *(F.col(c).cast("double") for c in columns))
-    return rows.groupBy("tx", "ty", "band").applyInArrow(packed, _ddl(names))
+    rows = images.select(*place, *(F.col(c).cast("int") for c in by), x, y, *(F.col(c).cast("double") for c in columns))
+    return rows.groupBy("tx", "ty", *by).applyInArrow(packed, _ddl(names, by=by))
 
 
-def _ddl(names: list[str], sums: list[str] | tuple = ()) -> str:
-    return "tx int, ty int, band int" + "".join(f", `{c}` binary" for c in names) + "".join(f", `{c}` double" for c in sums)
+def _ddl(names: list[str], sums: list[str] | tuple = (), by: tuple[str, ...] = ("band",)) -> str:
+    return ", ".join(f"{c} int" for c in ("tx", "ty", *by)) + "".join(f", `{c}` binary" for c in names) + "".join(f", `{c}` double" for c in sums)
 
 
 def unpack(tiles: DataFrame, columns: dict[str, str], tile: int = TILE) -> DataFrame:
@@ -78,23 +81,102 @@ class Kernel:
     @staticmethod
     def of(psf: DataFrame, images: DataFrame, tile: int = TILE) -> Kernel:
         """psf: band, dx, dy, value; what it does not hold is zero.  images: those that are to meet it."""
-        first, last = images.agg(F.floor(F.min("x") / tile), F.floor(F.max("x") / tile)).first()
-
-        def hats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block in range(batch.num_rows):
-                    kx, ky, band, value = (c[block].as_py() for c in batch.columns)
-                    hat = np.fft.rfft2(np.frombuffer(value).reshape(tile, tile), s=(2 * tile, 2 * tile))
-                    yield pa.RecordBatch.from_arrays([pa.array([kx], pa.int32()), pa.array([ky], pa.int32()), pa.array([band], pa.int32()), pa.array([hat.tobytes()])], names=["kx", "ky", "band", "hat"])
-
-        cut = pack(psf, ["value"], "dx", "dy", tile).select("tx", "ty", "band", "value").mapInArrow(hats, "kx int, ky int, band int, hat binary")
-        cut = stored(cut, "kernel")
+        cut = stored(transformed(psf, tile), "kernel")
         # one kernel tile of each band takes the image's own tile along; kernels go to each column of
         # tiles, so that the tiles of a band are spread over tasks
         own = cut.groupBy("band").agg(F.min(F.struct("kx", "ky")).alias("one"))
         marked = cut.join(own, "band").withColumn("own", F.struct("kx", "ky") == F.col("one")).drop("one")
-        columns = F.sequence(F.lit(first if first is not None else 0), F.lit(last if last is not None else 0))
-        return Kernel(stored(marked.withColumn("tx", F.explode(columns.cast("array<int>"))), "kernel"), tile)
+        return Kernel(stored(marked.withColumn("tx", F.explode(columns_of(images, tile))), "kernel"), tile)
+
+    def met(self, tiles: DataFrame, held: list[str], before: Callable[[int, Blocks], np.ndarray]) -> DataFrame:
+        """Rows (tx, ty, band, held, seen): the tiles as they are, and parts of what ``before`` makes of them, convolved, with seen alone."""
+        tile = self.tile
+        between = pa.schema([(c, pa.int32()) for c in ("tx", "ty", "band")] + [(c, pa.binary()) for c in [*held, "seen"]])
+        pairs = tiles.select("tx", "ty", "band", *held).join(self.tiles, ["band", "tx"], "left").select("tx", "ty", "band", *held, "kx", "ky", "hat", F.coalesce("own", F.lit(True)).alias("own"))
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = Spread(tile)
+            last, image = None, None
+
+            def handed() -> pa.RecordBatch:
+                keys, blocks = total.taken()
+                columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(3)] + [pa.nulls(len(keys), pa.binary())] * len(held) + [pa.array(blocks, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, schema=between)
+
+            for batch in batches:
+                whose = batch.column(batch.num_columns - 1).to_pylist()
+                mine = batch.filter(pa.array(whose))
+                yield pa.RecordBatch.from_arrays([*mine.columns[: 3 + len(held)], pa.nulls(mine.num_rows, pa.binary())], schema=between)
+                for tx, ty, band, *blocks, kx, ky, hat, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                    if hat is None:
+                        continue
+                    if (band, tx, ty) != last:
+                        last, image = (band, tx, ty), total.transform(before(band, opened(held, blocks, tile)))
+                    total.add(image, hat, tx + kx, ty + ky, (band,))
+                    if total.full:
+                        yield handed()
+            if not total.empty:
+                yield handed()
+
+        return pairs.mapInArrow(multiply, _ddl([*held, "seen"]))
+
+
+def transformed(psf: DataFrame, tile: int, by: tuple[str, ...] = ("band",)) -> DataFrame:
+    """(kx, ky, by, hat): the transforms of a kernel's tiles, padded to twice their side."""
+    schema = pa.schema([(c, pa.int32()) for c in ("kx", "ky", *by)] + [("hat", pa.binary())])
+
+    def hats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in range(batch.num_rows):
+                *key, value = (c[block].as_py() for c in batch.columns)
+                hat = np.fft.rfft2(np.frombuffer(value).reshape(tile, tile), s=(2 * tile, 2 * tile))
+                yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), pa.array([hat.tobytes()])], schema=schema)
+
+    cut = pack(psf, ["value"], "dx", "dy", tile, by).select("tx", "ty", *by, "value")
+    return cut.mapInArrow(hats, ", ".join(f"{c} int" for c in ("kx", "ky", *by)) + ", hat binary")
+
+
+def columns_of(images: DataFrame, tile: int) -> Column:
+    """The array of the columns of tiles that images lie in."""
+    first, last = images.agg(F.floor(F.min("x") / tile), F.floor(F.max("x") / tile)).first()
+    return F.sequence(F.lit(first if first is not None else 0), F.lit(last if last is not None else 0)).cast("array<int>")
+
+
+def opened(names: list[str], values: tuple | list, tile: int) -> Blocks:
+    return {c: np.frombuffer(v).reshape(tile, tile) for c, v in zip(names, values)}
+
+
+class Spread:
+    """What products of tiles and kernel tiles add to the tiles around, until a task hands it on."""
+
+    def __init__(self, tile: int) -> None:
+        self.tile, self.total = tile, {}
+
+    def transform(self, block: np.ndarray) -> np.ndarray:
+        return np.fft.rfft2(block, s=(2 * self.tile, 2 * self.tile))
+
+    def add(self, image: np.ndarray, hat: bytes, tx: int, ty: int, whose: tuple[int, ...]) -> None:
+        tile, total = self.tile, self.total
+        whole = np.fft.irfft2(image * np.frombuffer(hat, complex).reshape(2 * tile, tile + 1), s=(2 * tile, 2 * tile))
+        for i in (0, 1):
+            for j in (0, 1):
+                to = (tx + i, ty + j, *whose)
+                part = whole[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile]
+                total[to] = total[to] + part if to in total else part.copy()
+
+    @property
+    def full(self) -> bool:
+        return len(self.total) >= HELD
+
+    @property
+    def empty(self) -> bool:
+        return not self.total
+
+    def taken(self) -> tuple[list[tuple[int, ...]], list[bytes]]:
+        """Keys and blocks; begins anew."""
+        keys, blocks = list(self.total), [v.tobytes() for v in self.total.values()]
+        self.total.clear()
+        return keys, blocks
 
 
 def step(tiles: DataFrame, kernel: Kernel, before: Callable[[int, Blocks], np.ndarray], after: Callable[[dict[int, Blocks]], None], names: list[str], sums: list[str] | tuple = ()) -> DataFrame:
@@ -105,58 +187,25 @@ def step(tiles: DataFrame, kernel: Kernel, before: Callable[[int, Blocks], np.nd
     of a tile, with the result as "seen"; sets their columns ``names``, and the numbers ``sums``.
     """
     tile, held = kernel.tile, [f.name for f in tiles.schema.fields if f.dataType.simpleString() == "binary"]
-    between = pa.schema([(c, pa.int32()) for c in ("tx", "ty", "band")] + [(c, pa.binary()) for c in [*held, "seen"]])
     result = pa.schema([(c, pa.int32()) for c in ("tx", "ty", "band")] + [(c, pa.binary()) for c in names] + [(c, pa.float64()) for c in sums])
-    pairs = tiles.select("tx", "ty", "band", *held).join(kernel.tiles, ["band", "tx"], "left").select("tx", "ty", "band", *held, "kx", "ky", "hat", F.coalesce("own", F.lit(True)).alias("own"))
-
-    def opened(values: tuple | list) -> Blocks:
-        return {c: np.frombuffer(v).reshape(tile, tile) for c, v in zip(held, values)}
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int, int], np.ndarray] = {}
-        last, image = None, None
 
-        def handed() -> pa.RecordBatch:
-            columns = [pa.array([k[i] for k in total], pa.int32()) for i in range(3)] + [pa.nulls(len(total), pa.binary())] * len(held) + [pa.array([v.tobytes() for v in total.values()], pa.binary())]
-            total.clear()
-            return pa.RecordBatch.from_arrays(columns, schema=between)
-
-        for batch in batches:
-            whose = batch.column(batch.num_columns - 1).to_pylist()
-            mine = batch.filter(pa.array(whose))
-            yield pa.RecordBatch.from_arrays([*mine.columns[: 3 + len(held)], pa.nulls(mine.num_rows, pa.binary())], schema=between)
-            for tx, ty, band, *blocks, kx, ky, hat, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                if hat is None:
-                    continue
-                if (band, tx, ty) != last:
-                    last, image = (band, tx, ty), np.fft.rfft2(before(band, opened(blocks)), s=(2 * tile, 2 * tile))
-                whole = np.fft.irfft2(image * np.frombuffer(hat, complex).reshape(2 * tile, tile + 1), s=(2 * tile, 2 * tile))
-                for i in (0, 1):
-                    for j in (0, 1):
-                        to = (tx + kx + i, ty + ky + j, band)
-                        part = whole[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile]
-                        total[to] = total[to] + part if to in total else part.copy()
-                if len(total) >= HELD:
-                    yield handed()
-        if total:
-            yield handed()
-
-    def add(key: tuple, t: pa.Table) -> pa.Table:
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Blocks] = {}
         seen: dict[int, np.ndarray] = {}
-        for _, _, band, *blocks, part in zip(*(c.to_pylist() for c in t.columns)):
-            if part is None:
-                found[band] = opened(blocks)
-            else:
-                seen[band] = seen.get(band, 0.0) + np.frombuffer(part).reshape(tile, tile)
+        for batch in batches:
+            for _, _, band, *blocks, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if part is None:
+                    found[band] = opened(held, blocks, tile)
+                else:
+                    seen[band] = seen.get(band, 0.0) + np.frombuffer(part).reshape(tile, tile)
         for band, blocks in found.items():
             blocks["seen"] = blocks["inside"] * seen.get(band, np.zeros((tile, tile)))
         if found:  # a tile beyond the image has none
             after(found)
         rows = [[key[0].as_py(), key[1].as_py(), band, *(np.ascontiguousarray(b[c]).tobytes() for c in names), *(float(b[c]) for c in sums)] for band, b in sorted(found.items())]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(result), result)], schema=result)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(result), result)], schema=result)
 
-    return pairs.mapInArrow(multiply, _ddl([*held, "seen"])).groupBy("tx", "ty").applyInArrow(add, _ddl(names, sums))
+    return kernel.met(tiles, held, before).groupBy("tx", "ty").applyInArrow(add, _ddl(names, sums))
 
 
 def _per_band(change: Callable[[Blocks], None]) -> Callable[[dict[int, Blocks]], None]:

@@ -4,7 +4,7 @@ import warnings
 
 import numpy as np
 import pytest
-from fringeworks.operators import images, solvers, tiles
+from fringeworks.operators import images, partitions, solvers, tiles
 
 N = 8
 PSF = solvers.gaussian_kernel(16, 1.5, 1.2, 0.4)
@@ -195,3 +195,63 @@ def test_sessions_of_a_stream_are_those_of_the_table(spark, tmp_path):
     want = {(r.user_id, r.start): (r.last, r.n) for r in session_statistics(events, "user_id", "1 hour").collect()}
     assert got and got.items() <= want.items()  # the runs that reach the last hour are not complete yet
     assert len(want) - len(got) <= 5
+
+
+def pointings(spark):
+    """Two bands with three and two partitions: kernels, beams, and the plain operator."""
+    rng = np.random.default_rng(8)
+    which, psfs, beams = [(0, 0), (0, 1), (0, 7), (1, 1), (1, 2)], [], []
+    for k, _ in enumerate(which):
+        psfs.append((1 + k) * solvers.gaussian_kernel(16, 1.0 + 0.3 * k, 1.2, 0.3 * k))
+        psfs[-1] *= (1 + k) / psfs[-1][8, 8]
+        beams.append(rng.uniform(0.2, 1.0, (N, N)))
+    beams[2][:, 3:] = 0
+    kernel_rows = [(*w, i - 8, j - 8, float(p[i, j])) for w, p in zip(which, psfs) for i in range(16) for j in range(16)]
+    beam_rows = [(*w, i, j, float(b[i, j])) for w, b in zip(which, beams) for i in range(N) for j in range(N) if b[i, j]]
+
+    def apply(x, eta, totals):
+        out = eta * x
+        for (band, _), p, b in zip(which, psfs, beams):
+            out[band] += b * solvers.convolve(b * x[band], solvers.kernel_transform(p), p.shape) / totals[band]
+        return out
+
+    return spark.createDataFrame(kernel_rows, "band int, part int, dx int, dy int, value double"), spark.createDataFrame(beam_rows, "band int, part int, x int, y int, beam double"), apply
+
+
+@pytest.mark.parametrize("tile", [3, 8])
+def test_hessian_over_partitions(spark, tile):
+    """Weights by band and over all bands, a beam that ends within the image, and a partition of a band that has no image."""
+    psfs, beams, apply = pointings(spark)
+    sky = np.random.default_rng(9).normal(size=(2, N, N))
+    rows = cube(spark, sky)
+    more = psfs.union(psfs.filter("band = 1").selectExpr("band + 5", "part", "dx", "dy", "value"))
+    for over, totals in (("band", (6.0, 9.0)), ("all", (15.0, 15.0))):
+        kernel = partitions.PartKernel.of(more, beams, rows, tile, over)
+        assert np.allclose(dense(tiles.convolve(rows, kernel, eta=0.3)), apply(sky.copy(), 0.3, totals))
+
+
+def test_solvers_over_partitions(spark):
+    """Conjugate gradients to 1e-8, the largest eigenvalue of the dense matrix, and NNLS by its conditions."""
+    psfs, beams, apply = pointings(spark)
+    sky = np.random.default_rng(10).normal(size=(2, N, N))
+    rows = cube(spark, sky)
+    a = tiles.Hessian(partitions.PartKernel.of(psfs, beams, rows, N), 0.2)
+    x = dense(tiles.solve(rows, a))
+    assert np.linalg.norm(apply(x, 0.2, (6.0, 9.0)) - sky) <= 1e-8 * np.linalg.norm(sky)
+    norms = tiles.spectral_norms(rows, a)
+    for b in range(2):
+        matrix = np.stack([apply(np.stack([e.reshape(N, N)] * 2), 0.2, (6.0, 9.0))[b].ravel() for e in np.eye(N * N)])
+        assert np.allclose(matrix, matrix.T) and abs(norms[b][0] - np.linalg.eigvalsh(matrix)[-1]) <= 1e-6
+    x = dense(tiles.nnls(rows, a))
+    assert (x >= 0).all() and np.abs(np.minimum(x, apply(x, 0.2, (6.0, 9.0)) - sky)).max() < 1e-4
+
+
+def test_partitions_without_beam_or_weight(spark):
+    psfs, beams, _ = pointings(spark)
+    rows = cube(spark, np.ones((2, N, N)))
+    with pytest.raises(ValueError, match="partition 7 of band 0 has no beam"):
+        partitions.PartKernel.of(psfs, beams.filter("part < 7"), rows, N)
+    with pytest.raises(ValueError, match="weight"):
+        partitions.PartKernel.of(psfs.withColumn("value", images.F.lit(0.0)), beams, rows, N)
+    empty = partitions.PartKernel.of(psfs.limit(0), beams, rows, N)
+    assert not dense(tiles.convolve(rows, empty)).any()

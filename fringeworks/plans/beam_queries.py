@@ -66,3 +66,16 @@ def time_block_means(spark, sf_dir):
     utc = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"))
     out = block_means(rows.select("user_id", utc.alias("ts"), "value", (1.0 + F.col("user_id") % 3).alias("weight")), ["user_id"], "1 day")
     return rounded(out.withColumn("start", F.unix_seconds("start")), "user_id", "start", "n")
+
+
+@query("""SELECT user_id, CAST(floor((place - 1) / 5) AS BIGINT) AS block, min(time) AS first, max(time) AS last, count(*) AS integrations, CAST(sum(n) AS BIGINT) AS samples, sum(w) AS weight, round(sum(wv) / sum(w), 6) + 0 AS value
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time) AS place FROM (SELECT user_id, floor(epoch(ts) / 3600) AS time, sum(value * w) AS wv, sum(w) AS w, count(*) AS n
+        FROM (SELECT *, 1e0 + user_id % 3 AS w FROM events WHERE value IS NOT NULL) GROUP BY user_id, floor(epoch(ts) / 3600)))
+    GROUP BY user_id, floor((place - 1) / 5)""")
+def count_block_means(spark, sf_dir):
+    """A user's events in blocks of five hours that have any."""
+    from ..functions import epoch_seconds
+    from ..streaming.counted import count_blocks
+
+    rows = read(spark, sf_dir, "events").select("user_id", F.floor(epoch_seconds("ts") / 3600).alias("time"), "value", (1.0 + F.col("user_id") % 3).alias("weight"))
+    return rounded(count_blocks(rows, ["user_id"], 5), "user_id", "block", "integrations", "samples")

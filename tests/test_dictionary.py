@@ -59,12 +59,12 @@ def test_primal_dual_on_two_bases_and_two_bands(spark, reweights):
     b = seen(np.maximum(np.random.default_rng(5).normal(size=(2, N, N)), 0)) + 0.3 * np.random.default_rng(6).normal(size=(2, N, N))
     rows = cube(spark, b)
     a = tiles.Hessian(tiles.Kernel.of(kernels(spark, PSFS), rows, N), 0.2)
-    x = dense(dictionary.primal_dual(rows, a, 0.3, BASES, reweights, tol=1e-5 if not reweights else 1e-4))
+    x = dense(dictionary.primal_dual(rows, a, 0.3, BASES, reweights, tol=1e-5))
     want = plain(b, 0.3, [1.0, 1.0])
     for _ in range(reweights):
         sizes = [np.sqrt(sum(dictionary.haar(v, k) ** 2 for v in want)).ravel() for k in BASES]
         want = plain(b, 0.3, [2 / (1 + s / np.sqrt((s**2).mean())) for s in sizes])
-    assert want.any() and (want == 0).any() and np.abs(x - want).max() < (1e-3 if not reweights else 5e-3) * np.abs(want).max()
+    assert want.any() and (want == 0).any() and np.abs(x - want).max() < 1e-3 * np.abs(want).max()
 
 
 def test_ends_and_warns(spark):

@@ -13,7 +13,6 @@ leave it.
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,9 +89,12 @@ def probed(open_: DataFrame, cut: list[tuple[int, int]], step: list[tuple[int, i
     out: DataFrame | None = None
     for radius, j in step:
         shift, bits = cut[j]
-        masks = [sum(1 << b for b in c) for c in combinations(range(bits), radius)]
-        listed = F.array(*(F.lit(x).cast("long") for x in masks)) if len(masks) < 64 else F.from_json(F.lit(str(masks)), "array<bigint>")
-        keys = open_.select("query", "kth", F.explode(listed).alias("mask")).select("query", "kth", _key(j, part(F.col("query"), shift, bits).bitwiseXOR(F.col("mask"))).alias("key"))
+        # one changed bit after the other, each above the last: the tasks make the masks, whose number the plan does not hold
+        keys = open_.select("query", "kth", part(F.col("query"), shift, bits).alias("value"), F.lit(-1).alias("bit"))
+        for i in range(radius):
+            keys = keys.select("query", "kth", "value", F.explode(F.sequence(F.col("bit") + 1, F.lit(bits - radius + i))).alias("bit"))
+            keys = keys.withColumn("value", F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))))
+        keys = keys.select("query", "kth", _key(j, F.col("value")).alias("key"))
         out = keys if out is None else out.union(keys)
     return out
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import U64, list_of, lower_ascii, slices, table, words
+from ._text import U64, list_of, lower_ascii, ragged, slices, table, words
 from ._units import tokenizer_path
 from ._worker import held, rest, tidy
 
@@ -28,7 +28,7 @@ FIT_DOCUMENTS = 1500
 ROUNDS = 3
 #: Probability of a character that is no piece, the same in every language.
 UNKNOWN = 1e-7
-#: Words of more characters are summed in blocks of so many; the fit learns from parts of so many at most.
+#: Words of more characters are summed in blocks of so many.
 BLOCK = 64
 #: Sums are held times this for each character, so that those of a block stay within the range of doubles.
 SCALE = 1e4
@@ -145,13 +145,97 @@ def log_of_word(table_of: Pieces, codes: np.ndarray, probability: np.ndarray) ->
     raise AssertionError("a word has a last block")
 
 
+class Blocks:
+    """Long words of one language, cut into blocks whose borders any piece may cross.
+
+    Row i is a block of a word and what reaches beyond it; ``last`` is where the
+    word ends in its last block, or -1 in the others.
+    """
+
+    def __init__(self, table_of: Pieces, words: list[str]):
+        self.table_of, self.reach = table_of, table_of.longest
+        lengths = np.fromiter((len(x) + 1 for x in words), np.int64, len(words))
+        blocks = -(-lengths // BLOCK)
+        room = blocks * BLOCK + self.reach
+        self.codes = np.full(int(room.sum()), int(_NONE), np.uint32)
+        begin = np.cumsum(room) - room
+        self.codes[ragged(begin, lengths)] = np.frombuffer("".join(_WORD_START + x for x in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.word = np.repeat(np.arange(len(words)), blocks)
+        within = np.arange(len(self.word)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        self.start = begin[self.word] + within * BLOCK
+        self.last = np.where(within == blocks[self.word] - 1, lengths[self.word] - within * BLOCK, -1)
+        self.first = within == 0
+        self.some = np.array_split(np.arange(len(self.word)), 1 + len(self.word) * (BLOCK + self.reach) * self.reach // (2 << 20))
+
+    def parts(self, some: np.ndarray) -> list:
+        return self.table_of.parts(self.codes[self.start[some][:, None] + np.arange(BLOCK + self.reach)].astype(U64), BLOCK)
+
+    def across(self, parts: list, some: np.ndarray, scaled: dict[int, np.ndarray]) -> np.ndarray:
+        """at[j, i, k]: what reaches place j of block i from its place k."""
+        at = np.zeros((BLOCK + self.reach, len(some), self.reach))
+        for k in range(self.reach):
+            at[k, :, k] = 1
+        for begin, end, rows, piece in parts:
+            at[end, rows] += at[begin, rows] * scaled[end - begin][piece][:, None]
+        return at
+
+    def expected(self, counts: np.ndarray, probability: np.ndarray) -> np.ndarray:
+        """Expected numbers of the pieces, over all segmentations of the whole words.
+
+        What comes into a block from the left, and from the right, is carried from
+        block to block; the sums within all blocks are then taken at once.
+        """
+        scaled = {k: probability * SCALE**k for k in range(1, self.reach + 1)}
+        out = np.zeros(len(probability))
+        left = np.zeros((len(self.word), self.reach))
+        state = left[0]
+        for some in self.some:
+            at = self.across(self.parts(some), some, scaled)[BLOCK:]
+            for k, i in enumerate(some):
+                if self.first[i]:
+                    state = np.eye(1, self.reach)[0]
+                left[i] = state
+                state = at[:, k] @ state
+                state = state / max(state.max(), 1e-300)
+        state = np.zeros(self.reach)
+        for some in reversed(self.some):
+            parts = self.parts(some)
+            at = self.across(parts, some, scaled)
+            beta = np.zeros((BLOCK + self.reach, len(some)))
+            for k in range(len(some) - 1, -1, -1):
+                i = some[k]
+                if self.last[i] >= 0:
+                    beta[self.last[i], k] = 1
+                    state = at[self.last[i], k]
+                else:
+                    beta[BLOCK:, k] = state
+                    state = state @ at[BLOCK:, k]
+                state = state / max(state.max(), 1e-300)
+            alpha = np.zeros_like(beta)
+            alpha[: self.reach] = left[some].T
+            for begin, end, rows, piece in parts:
+                alpha[end, rows] += alpha[begin, rows] * scaled[end - begin][piece]
+            # so far beta is only where ways leave the block, or the word ends, and each way does so once
+            total = np.einsum("jk,jk->k", alpha, beta)
+            share = counts[self.word[some]] / np.maximum(total, 1e-300)
+            for begin, end, rows, piece in reversed(parts):
+                through = beta[end, rows] * scaled[end - begin][piece]
+                beta[begin, rows] += through
+                out += np.bincount(piece, alpha[begin, rows] * through * share[rows], len(out))
+        return out
+
+
 def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language, by expectation maximisation over the counted words."""
+    """Piece probabilities of one language, by expectation maximisation over the counted words, whole at any length."""
     table_of = pieces(path)
     size = table_of.size
+    short, long_ = [i for i, x in enumerate(words) if len(x) < BLOCK], [i for i, x in enumerate(words) if len(x) >= BLOCK]
+    blocks = Blocks(table_of, [words[i] for i in long_]) if long_ else None
+    long_counts = counts[long_].astype(float)
+    words, counts = [words[i] for i in short], counts[short]
     probability = np.append(np.full(size, 1 / size), UNKNOWN)
     for _ in range(rounds):
-        expected = np.zeros(size + 1)
+        expected = blocks.expected(long_counts, probability) if blocks else np.zeros(size + 1)
         for at, codes in by_width(words):  # pieces are found anew each round: kept, they would grow with the sample
             n, width, parts = counts[at].astype(float), codes.shape[1], table_of.parts(codes)
             alpha = forward(parts, width, probability[:, None])[:, :, 0]
@@ -252,8 +336,7 @@ def fit(labelled: DataFrame, vocabulary: str = "piece_bpe_32k.model", fit_docume
     def learn(rows: pa.Table) -> pa.Table:
         lang = rows.column("lang")[0].as_py()
         words, counts = pc.utf8_lower(rows.column("word").combine_chunks()).to_pylist(), rows.column("n").to_numpy()
-        parts = [(x[k : k + BLOCK - 1], n) for x, n in zip(words, counts, strict=True) for k in range(0, len(x), BLOCK - 1)]
-        p = fit_pieces([x for x, _ in parts], np.array([n for _, n in parts]), vocabulary)
+        p = fit_pieces(words, counts, vocabulary)
         rest()
         return pa.Table.from_batches([table(fitted, [[lang], list_of(p, np.array([0, len(p)]), pa.float64())])])
 

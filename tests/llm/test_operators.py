@@ -1,10 +1,13 @@
 """Each operator against a brute-force version on small texts with nulls, copies, ties and odd characters."""
 
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -350,6 +353,21 @@ def test_hamming_top_k(spark):
     assert len(few) == 3
 
 
+def test_hamming_probes_every_value_of_a_radius_once(spark):
+    """Masks are made in tasks: the plan of a wide radius is short."""
+    cut = [(0, 5), (5, 24)]
+    open_ = spark.createDataFrame([(0b1011_01101, 64), (-1, 3)], "query long, kth long")
+    for radius, j in [(0, 0), (1, 1), (3, 0), (5, 0), (4, 1)]:
+        df = hamming.probed(open_, cut, [(radius, j)])
+        got = [(r.query, r.key) for r in df.collect()]
+        shift, bits = cut[j]
+        want = {(q, (j << 40) | ((q >> shift & (1 << bits) - 1) ^ sum(1 << b for b in c))) for q in (0b1011_01101, -1) for c in combinations(range(bits), radius)}
+        assert len(got) == len(set(got)) and set(got) == want
+    wide = hamming.probed(open_, cut, [(12, 1)])
+    assert len(wide._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert wide.count() == 2 * math.comb(24, 12)
+
+
 def test_warc(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 200)
     pages = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", None, "", "<p>a</p>", "é" * 300, "<p>b</p>", "<p>a</p>"])]
@@ -397,6 +415,41 @@ def test_forward_sums_all_segmentations():
     assert np.array_equal(scorer.scores(words[::-1]), scorer.scores(words)[::-1])
 
 
+def test_fit_sums_whole_words():
+    """Expected numbers of pieces in words of many blocks, against one place after the other in logarithms."""
+    p = langid.Pieces("piece_bpe_32k.model")
+    r = np.random.default_rng(1)
+    prob = np.append(r.uniform(1e-5, 1e-2, p.size), langid.UNKNOWN)
+    known = {n: i for i, n in enumerate(p.names)}
+    words = ["internationalization" * 5, "x\u4e2d" * 40, "t" * 63, "t" * 64, "t" * 127, "thisisalongword" * 30, "\u4e2d" * 200, "ing" * 43]
+    counts = np.array([1.0, 2, 3, 1, 5, 1, 2, 7])
+    want = np.zeros(p.size + 1)
+    for word, n in zip(("▁" + w for w in words), counts, strict=True):
+        arcs = [(k, end, known.get(word[k:end], p.size)) for k in range(len(word)) for end in range(k + 1, min(len(word), k + p.longest) + 1) if end == k + 1 or word[k:end] in known]
+        ahead, back = np.full(len(word) + 1, -np.inf), np.full(len(word) + 1, -np.inf)
+        ahead[0] = back[-1] = 0
+        for k, end, i in arcs:
+            ahead[end] = np.logaddexp(ahead[end], ahead[k] + np.log(prob[i]))
+        for k, end, i in reversed(arcs):
+            back[k] = np.logaddexp(back[k], back[end] + np.log(prob[i]))
+        for k, end, i in arcs:
+            want[i] += n * np.exp(ahead[k] + np.log(prob[i]) + back[end] - ahead[-1])
+    assert np.allclose(langid.Blocks(p, words).expected(counts, prob), want, rtol=1e-9, atol=1e-12)
+    # short words meet the same sums whichever way they take
+    few, n = ["the", "words", "ofmanycharacters"] + words, np.arange(1, 12)
+    whole = langid.fit_pieces(few, n, "piece_bpe_32k.model", 1)
+    assert np.isclose(whole.sum(), 1) and np.isfinite(whole).all()
+    uniform = np.append(np.full(p.size, 1 / p.size), langid.UNKNOWN)
+    smooth = langid.Blocks(p, few).expected(n.astype(float), uniform)[:-1] + 0.05
+    assert np.allclose(whole, smooth / smooth.sum(), rtol=1e-9)
+
+
+def test_fit_of_a_word_of_a_megabyte():
+    began = time.time()
+    assert np.isfinite(langid.fit_pieces(["ab\u4e2dc" * 250_000, "the"], np.array([1, 2]), "piece_bpe_32k.model", 1)).all()
+    assert time.time() - began < 60
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for f in (packing.pack, minhash.components, quality.quality, substring.remove_repeats, suffix.remove_repeats, bpe.round_trip, langid.identify):

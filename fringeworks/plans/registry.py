@@ -30,4 +30,4 @@ def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
     return df.select(*(F.col(c) if c in keep else (F.round(F.col(c).cast("double"), digits) + 0.0).alias(c) for c in df.columns))
 
 
-from . import beam_queries, image_queries, partition_queries, product_queries, sky_queries, solver_queries, source_queries, vis_queries  # noqa: E402, F401
+from . import beam_queries, image_queries, partition_queries, prior_queries, product_queries, sky_queries, solver_queries, source_queries, vis_queries  # noqa: E402, F401

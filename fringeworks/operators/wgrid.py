@@ -5,7 +5,8 @@ its w.  Samples are sorted by the tile that they begin in, so a task holds one t
 with its halo and its planes, and hands on the tiles that it filled; equal tiles
 are summed.  A plane is transformed in strips, first along v and then along u, times
 its phase screen, and the planes' images are summed tile by tile.  Degridding goes
-the same way back, and samples meet the tiles that they touch in a keyed join.
+the same way back, and samples meet the tile that they begin in, with its halo, in a
+keyed join.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from .imaging import _kernel
 
 #: Samples that a task spreads at a time.
 CHUNK = 256
+#: Samples that a task reads off the grid at a time.
+READ = 64
+#: Samples that a task deals out to pieces of the grid at a time, and pieces beyond which it sorts its samples first.
+GATHERED, PIECES = 1 << 17, 256
 
 
 @dataclass(frozen=True)
@@ -209,15 +214,14 @@ def image(vis: DataFrame, g: Geometry, groups: list[str] | None = None) -> DataF
 def degridded(vis: DataFrame, model: DataFrame, g: Geometry) -> DataFrame:
     """``vis`` with p_re, p_im: the visibilities of a model image (x, y, value), with the w term, as ``imaging.predict`` gives them.
 
-    vis is stored with a number for each sample.  Planes are made for the range of
-    w that the samples have.  Samples ask the tiles that their kernels touch, in
-    blocks of those of a batch that ask the same one.
+    vis is read twice: planes are made for the range of w that the samples have.
+    Every sample finds all its cells in one piece of the grid, a tile with its halo
+    on the planes of a slab, and meets it in blocks of samples that lie there.
     """
     T, (gx, gy), width = g.tile, g.shape, g.width
-    samples = stored(vis.withColumn("sample_", F.monotonically_increasing_id()), "samples")
-    where = samples.select("sample_", *_begins(g), *(F.col(c).cast("double") for c in ("u", "v", "w", "freq")))
-    low, high = where.agg(F.min("p_"), F.max("p_")).first()
-    planes = F.sequence(F.lit((low or 0) + int(g.reach[0])), F.lit((high or 0) + int(g.reach[-1])))
+    low, high = vis.select(_begins(g)[0]).agg(F.min("p_"), F.max("p_")).first()
+    low, high = low or 0, high or 0
+    planes = F.sequence(F.lit(low + int(g.reach[0])), F.lit(high + int(g.reach[-1])))
     strips = pa.schema([(c, pa.int32()) for c in ("plane", "tu", "ty")] + [("block", pa.binary())])
     tiles = pa.schema([(c, pa.int32()) for c in ("plane", "tu", "tv")] + [("block", pa.binary())])
 
@@ -245,46 +249,114 @@ def degridded(vis: DataFrame, model: DataFrame, g: Geometry) -> DataFrame:
     columns = model.select(F.col("x").cast("int"), F.col("y").cast("int"), F.col("value").cast("double")).withColumn("ty", F.floor(F.col("y") / T).cast("int"))
     each = columns.withColumn("plane", F.explode(planes))
     grid = each.groupBy("plane", "ty").applyInArrow(along_u, _ddl(strips)).groupBy("plane", "tu").applyInArrow(along_v, _ddl(tiles))
-    # a sample asks the tiles of all its cells, on each of its planes
-    touched = lambda t, place: F.array_distinct(F.array(*(F.floor((F.floor(place) + int(r)) / T).cast("int") for r in sorted({*range(g.reach[0], g.reach[-1], T), g.reach[-1]}))))
-    pu, pv, _ = g.places(*(F.col(c) for c in ("u", "v", "w", "freq")))
-    asks = where.withColumn("plane", F.explode(F.sequence(F.col("p_") + int(g.reach[0]), F.col("p_") + int(g.reach[-1]))))
-    asks = asks.withColumn("tu", F.explode(touched("tu_", pu))).withColumn("tv", F.explode(touched("tv_", pv)))
-    asks = asks.withColumn("ku", F.pmod("tu", F.lit(gx // T))).withColumn("kv", F.pmod("tv", F.lit(gy // T)))
-    asked_of = ["plane", "ku", "kv", "tu", "tv"]
-    packed = pa.schema([(c, pa.int32()) for c in asked_of] + [("asks", pa.binary())])
+    pieces = stored(_pieces(grid, g, low // width, high // width), "pieces")
+
+    # samples without a place meet no piece
+    p, tu, tv = _begins(g)
+    nowhere = F.lit(-(1 << 31))
+    at = {"_q": F.coalesce(F.floor(p / width).cast("int"), nowhere), "_tu": F.coalesce(F.pmod(tu, F.lit(gx // T)), nowhere), "_tv": F.coalesce(F.pmod(tv, F.lit(gy // T)), nowhere)}
+    packed = pa.schema([*((c, pa.int32()) for c in at), ("samples", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of samples that ask one tile."""
-        for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in range(5)], axis=1)
+        """Blocks of samples that lie in one piece, of some batches at a time."""
+        for t in _gathered(batches, GATHERED):
+            key = np.stack([c.to_numpy() for c in t.columns[-3:]], axis=1)
+            order = np.lexsort(key.T)
+            key, own = key[order], pa.RecordBatch.from_arrays(t.columns[:-3], names=t.schema.names[:-3]).take(pa.array(order))
             starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            ids, numbers = batch.column(5).to_numpy(), [batch.column(c).to_numpy() for c in range(6, 10)]
-            rows = [[*key[lo].tolist(), np.stack([ids[lo:hi].view(np.float64), *(x[lo:hi] for x in numbers)]).tobytes()] for lo, hi in zip(starts, np.append(starts[1:], len(key)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), packed)], schema=packed)
-
-    blocks = asks.select(*(F.col(c).cast("int").alias(c) for c in asked_of), "sample_", "u", "v", "w", "freq").sortWithinPartitions(*asked_of).mapInArrow(pack, "plane int, ku int, kv int, tu int, tv int, asks binary")
-    met = blocks.join(grid.select("plane", F.col("tu").alias("ku"), F.col("tv").alias("kv"), "block"), ["plane", "ku", "kv"])
-    result = pa.schema([("sample_", pa.int64()), ("re_", pa.float64()), ("im_", pa.float64())])
+            for lo, hi in zip(starts, np.append(starts[1:], len(key))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as to:
+                    to.write_batch(own.slice(lo, hi - lo))
+                row = [*key[lo].tolist(), sink.getvalue().to_pybytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, packed)], schema=packed)
+
+    keyed = vis.select("*", *(c.alias(k) for k, c in at.items()))
+    # of many pieces, samples as they come would lie in too many at a time
+    if gx // T * (gy // T) * (high // width - low // width + 1) > PIECES:
+        keyed = keyed.sortWithinPartitions(*at)
+    blocks = keyed.mapInArrow(pack, "_q int, _tu int, _tv int, samples binary")
+    met = blocks.join(pieces.withColumnsRenamed({"q": "_q", "tu": "_tu", "tv": "_tv"}), list(at), "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for plane, tu, tv, asks_, block in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, u, v, w, f = np.frombuffer(asks_).reshape(5, -1)
-                block, out = np.frombuffer(block, complex).reshape(T, T), np.zeros(len(u), complex)
-                pu, pv, pw = g.places(u, v, w, f)
-                near = []
-                for x, t in ((pu, tu), (pv, tv)):
-                    cell = np.floor(x).astype(int)[:, None] + g.reach - t * T
-                    near.append((np.clip(cell, 0, T - 1), g.weights(x) * ((cell >= 0) & (cell < T))))
-                (a, ku), (b, kv) = near
-                kw = _kernel(pw - plane, width, g.beta)
-                for k in range(0, len(u), CHUNK):
-                    s = slice(k, k + CHUNK)
-                    out[s] = kw[s] * np.einsum("su,sv,suv->s", ku[s], kv[s], block[a[s][:, :, None], b[s][:, None, :]])
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(out.real), pa.array(out.imag)], schema=result)
-
-    asked = met.select("plane", "tu", "tv", "asks", "block").mapInArrow(read, "sample_ long, re_ double, im_ double")
-    sums = asked.groupBy("sample_").agg(F.sum("re_").alias("p_re"), F.sum("im_").alias("p_im"))
-    joined = samples.join(sums, "sample_", "left")
-    return joined.select(*vis.columns, F.coalesce("p_re", F.lit(0.0)).alias("p_re"), F.coalesce("p_im", F.lit(0.0)).alias("p_im"))
+            for k in range(batch.num_rows):
+                tu, tv, samples, block = (batch.column(c)[k] for c in range(1, 5))
+                own = pa.ipc.open_stream(samples.as_buffer()).read_next_batch()
+                out = np.zeros(own.num_rows, complex)
+                if block.is_valid:
+                    where = g.places(*(own.column(own.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("u", "v", "w", "freq")))
+                    out = _read(g, np.frombuffer(block.as_buffer(), complex), tu.as_py(), tv.as_py(), *where)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(out.real), pa.array(out.imag)], names=[*own.schema.names, "p_re", "p_im"])
+
+    schema = vis.withColumn("p_re", F.lit(0.0)).withColumn("p_im", F.lit(0.0)).schema
+    return met.select("_q", "_tu", "_tv", "samples", "block").mapInArrow(read, schema)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Batches of n rows or little more, of smaller ones."""
+    some, rows = [], 0
+    for batch in batches:
+        some.append(batch)
+        rows += batch.num_rows
+        if rows >= n:
+            yield pa.concat_batches(some)
+            some, rows = [], 0
+    if rows:
+        yield pa.concat_batches(some)
+
+
+def _pieces(grid: DataFrame, g: Geometry, first: int, last: int) -> DataFrame:
+    """Rows (q, tu, tv, block) of the tiles (plane, tu, tv, block): a tile with its halo on the planes that samples of slab q reach.
+
+    A slab begins at as many planes as the kernel is wide.  A block has the planes of
+    a cell one after the other.
+    """
+    T, (gx, gy), width = g.tile, g.shape, g.width
+    half, wide = width // 2 - 1, T + width - 1
+    offsets = range(-half // T, (wide - 1 - half) // T + 1)
+    parts = pa.schema([(c, pa.int32()) for c in ("q", "tu", "tv", "depth", "du", "dv")] + [("block", pa.binary())])
+    whole = pa.schema([(c, pa.int32()) for c in ("q", "tu", "tv")] + [("block", pa.binary())])
+
+    def seen(d: int) -> tuple[slice, slice]:
+        """Cells of a piece that lie d tiles on, and their places in that tile."""
+        lo, hi = max(0, half + d * T), min(wide, half + (d + 1) * T)
+        return slice(lo, hi), slice(lo - half - d * T, hi - half - d * T)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for plane, tu, tv, block in zip(*(c.to_pylist() for c in batch.columns)):
+                block, rows = np.frombuffer(block, complex).reshape(T, T), []
+                for q in range(max(first, (plane - g.reach[-1]) // width), min(last, (plane - g.reach[0]) // width) + 1):
+                    for du in offsets:
+                        for dv in offsets:
+                            rows.append([q, (tu - du) % (gx // T), (tv - dv) % (gy // T), plane - q * width - g.reach[0], du, dv, block[seen(du)[1], seen(dv)[1]].tobytes()])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), parts)], schema=parts)
+
+    def assembled(key: tuple, t: pa.Table) -> pa.Table:
+        piece = np.zeros((wide, wide, 2 * width - 1), complex)
+        for depth, du, dv, block in zip(*(t.column(c).to_pylist() for c in ("depth", "du", "dv", "block"))):
+            at = piece[seen(du)[0], seen(dv)[0], depth]
+            at[:] = np.frombuffer(block, complex).reshape(at.shape)
+        return pa.table([*([k.as_py()] for k in key), [piece.tobytes()]], schema=whole)
+
+    return grid.select("plane", "tu", "tv", "block").mapInArrow(cut, _ddl(parts)).groupBy("q", "tu", "tv").applyInArrow(assembled, _ddl(whole))
+
+
+def _read(g: Geometry, piece: np.ndarray, tu: int, tv: int, pu: np.ndarray, pv: np.ndarray, pw: np.ndarray) -> np.ndarray:
+    """A piece's values at the places of samples that lie in it."""
+    width, wide = g.width, g.tile + g.width - 1
+    piece, out = piece.reshape(wide * wide, 2 * width - 1), np.zeros(len(pu), complex)
+    iu, iv = (np.floor(x).astype(int) % n - t * g.tile for x, n, t in ((pu, g.shape[0], tu), (pv, g.shape[1], tv)))
+    depth = np.floor(pw).astype(int) % width
+    for d in np.unique(depth):
+        mine = np.flatnonzero(depth == d)
+        planes = np.ascontiguousarray(piece[:, d : d + width]).view(float)
+        for k in range(0, len(mine), READ):
+            s = mine[k : k + READ]
+            cell = (iu[s, None] + np.arange(width))[:, :, None] * wide + (iv[s, None] + np.arange(width))[:, None, :]
+            near = g.weights(pu[s])[:, :, None] * g.weights(pv[s])[:, None, :]
+            on_planes = np.matmul(near.reshape(len(s), 1, -1), planes[cell.reshape(len(s), -1)]).view(complex)[:, 0]
+            out[s] = (g.weights(pw[s]) * on_planes).sum(axis=1)
+    return out

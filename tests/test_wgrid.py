@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 from fringeworks.operators import imaging, wgrid
+from fringeworks.plans.tables import stored
+from pyspark.sql import functions as F
 
 VIS = "band int, u double, v double, w double, freq double, re double, im double, weight double, flag boolean"
 
@@ -66,3 +68,39 @@ def test_nothing_to_grid(spark):
     assert wgrid.image(empty, g, ["band"]).count() == 0 and wgrid.degridded(empty, model, g).count() == 0
     no_model = spark.createDataFrame([], "x int, y int, value double")
     assert {(r.p_re, r.p_im) for r in wgrid.degridded(samples(spark, 5), no_model, g).collect()} == {(0.0, 0.0)}
+
+
+def shuffled(df):
+    """Rows that the plan of a result, once it has run, has put through its exchanges."""
+    df.collect()
+    out, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif plan.getClass().getSimpleName() == "ShuffleQueryStageExec":
+            todo.append(plan.plan())
+        elif plan.getClass().getSimpleName() == "ShuffleExchangeExec":
+            out += plan.metrics().apply("shuffleRecordsWritten").value()
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_degridding_leaves_samples_where_they_are(spark, monkeypatch):
+    """Samples ask for one piece of the grid, not for a tile on each plane; in many pieces the result is the same."""
+    vis, g = stored(samples(spark, 2000).drop("re", "im"), "vis"), wgrid.Geometry(16, 16, 0.01, 12, 16)
+    model = spark.createDataFrame([(4, 4, 1.0), (9, 3, -2.0)], "x int, y int, value double")
+    out = wgrid.degridded(vis, model, g)
+    assert shuffled(out) == 0
+    monkeypatch.setattr(wgrid, "PIECES", 0)
+    key = lambda x: (x.u, x.v, x.w)
+    same = sorted(wgrid.degridded(vis, model, g).collect(), key=key)
+    assert len(same) == 2000 and all(abs(a.p_re - b.p_re) < 1e-12 and abs(a.p_im - b.p_im) < 1e-12 for a, b in zip(same, sorted(out.collect(), key=key)))
+
+
+def test_samples_without_a_place_have_no_visibility(spark):
+    vis = samples(spark, 20).withColumn("u", F.when(F.col("v") > 0, F.col("u")))
+    model = spark.createDataFrame([(4, 4, 1.0)], "x int, y int, value double")
+    got = wgrid.degridded(vis, model, wgrid.Geometry(8, 8, 8e-3, 8, 8)).collect()
+    assert len(got) == 20 and all((r.p_re == 0 and r.p_im == 0) == (r.u is None) for r in got)

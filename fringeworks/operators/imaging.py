@@ -90,35 +90,94 @@ def direct_image(vis: DataFrame, nx: int, ny: int, cell: float, groups: list[str
     return partial.groupBy(*groups, "x", "y").agg(F.sum("value").alias("value"))
 
 
+#: Turns by the w term, in radians, up to which it is a short power series.
+_NARROW = 1.0
+
+
+def _powers(turn: float) -> int:
+    """Terms of the series of exp(i x) for |x| <= turn, to the last digits of a double."""
+    n, term = 1, 1.0
+    while term > 1e-16:
+        term *= turn / n
+        n += 1
+    return n - 1
+
+
+class _Separable:
+    """Sums over samples of Re(value exp(i phase)), phases being factors of rows and columns of pixels.
+
+    The phase is a part along x, one along y and the w term, which is a product of w
+    and n alike in every pixel; all terms of its series are one matrix product.
+    """
+
+    def __init__(self, u, v, w, f, lx: np.ndarray, my: np.ndarray, powers: int):
+        k = 2 * pi * f / C
+        across, down = np.outer(lx, k * u), np.outer(-my, k * v)
+        self.cos, self.sin, self.n = np.cos(across), np.sin(across), np.sqrt(1 - (lx * lx)[:, None] - my * my) - 1
+        cos, sin, scale = np.cos(down), np.sin(down), np.ones(len(u))
+        # the real parts of (-i)^j z and, for odd j, its imaginary ones
+        self.right = np.empty((powers, len(my), 2 * len(u)))
+        for j, right in enumerate(self.right):
+            s = scale if j % 4 < 2 else -scale
+            np.multiply(sin if j % 2 else cos, s, out=right[:, : len(u)])
+            np.multiply(cos if j % 2 else sin, s if j % 2 else -s, out=right[:, len(u) :])
+            scale = scale * (k * w)
+
+    def sums(self, re: np.ndarray, im: np.ndarray | None = None, xs: slice = slice(None), ys: slice = slice(None)) -> np.ndarray:
+        """The image of some rows and columns, value by pixel, as one array."""
+        cos, sin, right, n = self.cos[xs], self.sin[xs], self.right[:, ys], self.n[xs, ys]
+        left = np.concatenate([cos * re, sin * re] if im is None else [cos * re - sin * im, sin * re + cos * im], axis=1)
+        terms = (left @ right.reshape(-1, left.shape[1]).T).reshape(len(left), len(right), -1)
+        out = terms[:, -1]
+        for j in range(len(right) - 2, -1, -1):
+            out = out * n / (j + 1) + terms[:, j]
+        return out.ravel()
+
+
 def product_sums(vis: DataFrame, nx: int, ny: int, cell: float, groups: list[str] | None = None, wide: int = 2) -> DataFrame:
     """Rows (*groups, product, x, y, value) of one scan: dirty, psf, and residual where vis holds a model p_re, p_im.
 
     Sums over the unflagged samples, centred.  psf has ``wide`` times the pixels
-    along each axis; its middle pixel is the sum of weights.
+    along each axis; its middle pixel is the sum of weights.  Where the w term turns
+    no phase by more than a radian, as in narrow fields, the phases are products of a
+    factor for each row and each column of pixels; else each is made by itself.
     """
     groups = groups or []
     px, py = wide * nx, wide * ny
-    l, m = (a.ravel() for a in np.meshgrid(*lm_grid(px, py, cell), indexing="ij"))
-    inner = ((np.arange(nx) + px // 2 - nx // 2)[:, None] * py + np.arange(ny) + py // 2 - ny // 2).ravel()
+    lx, my = lm_grid(px, py, cell)
+    l, m = (a.ravel() for a in np.meshgrid(lx, my, indexing="ij"))
+    ix, iy = (slice(p // 2 - n // 2, p // 2 - n // 2 + n) for p, n in ((px, nx), (py, ny)))
+    inner = np.arange(px * py).reshape(px, py)[ix, iy].ravel()
     model = ["p_re", "p_im"] if "p_re" in vis.columns else []
     names = ["u", "v", "w", "freq", "re", "im", "weight", *model]
     shapes = {"dirty": (nx, ny), "psf": (px, py), **({"residual": (nx, ny)} if model else {})}
     step = _chunk(px * py)
+    deep = np.abs(np.sqrt(1 - l * l - m * m) - 1).max()
+
+    def add(image: dict[str, np.ndarray], u, v, w, f, re, im, wt, *predicted) -> None:
+        turn = deep * np.abs(w * (2 * pi * f / C)).max()
+        if turn <= _NARROW:
+            phases = _Separable(u, v, w, f, lx, my, _powers(turn))
+            image["psf"] += phases.sums(wt)
+            image["dirty"] += phases.sums(wt * re, wt * im, ix, iy)
+            if predicted:
+                image["residual"] += phases.sums(wt * (re - predicted[0]), wt * (im - predicted[1]), ix, iy)
+            return
+        phase = _phases(u, v, w, f, l, m)
+        cos = np.cos(phase)
+        image["psf"] += wt @ cos
+        cos, sin = cos[:, inner], np.sin(phase[:, inner])
+        image["dirty"] += (wt * re) @ cos - (wt * im) @ sin
+        if predicted:
+            image["residual"] += (wt * (re - predicted[0])) @ cos - (wt * (im - predicted[1])) @ sin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, dict[str, np.ndarray]] = {}
         for batch in batches:
-            for key, (u, v, w, f, re, im, wt, *predicted) in _batches(groups, names, batch):
+            for key, columns in _batches(groups, names, batch):
                 image = sums.setdefault(key, {p: np.zeros(a * b) for p, (a, b) in shapes.items()})
-                for k in range(0, len(u), step):
-                    s = slice(k, k + step)
-                    phase = _phases(u[s], v[s], w[s], f[s], l, m)
-                    cos = np.cos(phase)
-                    image["psf"] += wt[s] @ cos
-                    cos, sin = cos[:, inner], np.sin(phase[:, inner])
-                    image["dirty"] += (wt[s] * re[s]) @ cos - (wt[s] * im[s]) @ sin
-                    if predicted:
-                        image["residual"] += (wt[s] * (re[s] - predicted[0][s])) @ cos - (wt[s] * (im[s] - predicted[1][s])) @ sin
+                for k in range(0, len(columns[0]), step):
+                    add(image, *(c[k : k + step] for c in columns))
         for key, image in sums.items():
             for product, (a, b) in shapes.items():
                 at = np.arange(a * b)
@@ -131,8 +190,9 @@ def product_sums(vis: DataFrame, nx: int, ny: int, cell: float, groups: list[str
 
 def data_products(vis: DataFrame, nx: int, ny: int, cell: float, groups: list[str] | None = None, components: DataFrame | None = None, wide: int = 2) -> DataFrame:
     """Dirty images, PSFs and, given a model, residuals of each group, over the sums of weights; visibilities are read once."""
-    if components is not None:
-        vis = predict(vis, components, nx, ny, cell)
+    if components is not None:  # only what the sums use passes through the tasks that predict
+        used = vis.filter(~F.col("flag")).select(*(groups or []), "u", "v", "w", "freq", "re", "im", "weight", "flag")
+        vis = predict(used, components, nx, ny, cell)
     sums = stored(product_sums(vis, nx, ny, cell, groups, wide), "products")
     middle = sums.filter((F.col("product") == "psf") & (F.col("x") == wide * nx // 2) & (F.col("y") == wide * ny // 2))
     return normalised(sums, middle.select(*(groups or []), F.col("value").alias("wsum")), groups)

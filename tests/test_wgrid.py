@@ -78,7 +78,7 @@ def shuffled(df):
         plan = todo.pop()
         if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
             todo.append(plan.executedPlan())
-        elif plan.getClass().getSimpleName() == "ShuffleQueryStageExec":
+        elif plan.getClass().getSimpleName().endswith("QueryStageExec"):
             todo.append(plan.plan())
         elif plan.getClass().getSimpleName() == "ShuffleExchangeExec":
             out += plan.metrics().apply("shuffleRecordsWritten").value()

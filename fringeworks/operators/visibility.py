@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import cos, pi, sin
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import C, abs2, cdiv, cmul, conj, phasor, uvw_phase
@@ -149,6 +149,27 @@ def average_channels(vis: DataFrame, keys: list[str], per_bin: int) -> DataFrame
     return good.groupBy(*keys, "bin").agg((F.sum(F.col("weight") * F.col("re")) / w).alias("re"), (F.sum(F.col("weight") * F.col("im")) / w).alias("im"), w.alias("weight"), F.avg("freq").alias("freq"))
 
 
+#: Samples that a task puts in order along their tracks, on average.
+TRACKED = 1 << 18
+
+
+def _track() -> WindowSpec:
+    """Samples of a baseline and channel in the order of time."""
+    return Window.partitionBy("ant1", "ant2", "chan").orderBy("time", "row_id")
+
+
+def tracks(vis: DataFrame, *more: str) -> DataFrame:
+    """Unflagged samples with ``moved``: wavelengths along the track of their baseline and channel since the sample before.
+
+    The samples are counted first, and dealt out to as many tasks as hold ``TRACKED`` each.
+    """
+    good = vis.filter(~F.col("flag"))
+    tasks = max(vis.sparkSession.sparkContext.defaultParallelism, -(-good.count() // TRACKED))
+    dealt = good.select("ant1", "ant2", "chan", "time", "row_id", "u", "v", "w", "freq", *more).repartition(tasks, "ant1", "ant2", "chan")
+    step = sum(((F.col(c) - F.lag(c).over(_track())) ** 2 for c in ("u", "v", "w")), F.lit(0.0))
+    return dealt.withColumn("moved", F.coalesce(F.sqrt(step) * F.col("freq") / C, F.lit(0.0)))
+
+
 def average_baselines(vis: DataFrame, decorrelation: float, field_rad: float) -> DataFrame:
     """Baseline-dependent time averaging.
 
@@ -162,10 +183,8 @@ def average_baselines(vis: DataFrame, decorrelation: float, field_rad: float) ->
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if sin(pi * mid) / (pi * mid) > decorrelation else (lo, mid)
     limit = lo / (field_rad / 2)
-    track = Window.partitionBy("ant1", "ant2", "chan").orderBy("time", "row_id")
-    moved = F.sqrt(sum(((F.col(c) - F.lag(c).over(track)) ** 2 for c in ("u", "v", "w")), F.lit(0.0))) * F.col("freq") / C
-    path = vis.filter(~F.col("flag")).withColumn("moved", F.coalesce(moved, F.lit(0.0)))
-    path = path.withColumn("bin", F.floor(F.sum("moved").over(track) / limit).cast("long"))
+    far = F.sum("moved").over(_track().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    path = tracks(vis, "re", "im", "weight").withColumn("bin", F.floor(far / limit).cast("long"))
     w = F.sum("weight")
     mean = [(F.sum(F.col("weight") * F.col(c)) / w).alias(c) for c in ("re", "im", "u", "v", "w", "time")]
     return path.groupBy("ant1", "ant2", "chan", "bin").agg(*mean, w.alias("weight"), F.count("*").alias("samples"))

@@ -398,11 +398,7 @@ def model_subtracted_sums(spark, sf_dir):
     SELECT ant1, ant2, chan, count(*) AS samples, round(sum(moved), 4) AS path FROM t GROUP BY ALL""")
 def baseline_tracks(spark, sf_dir):
     """Length of each baseline's uv track in wavelengths, on which baseline-dependent averaging rests."""
-    from pyspark.sql import Window
-
-    b = Window.partitionBy("ant1", "ant2", "chan").orderBy("time", "row_id")
-    step = sum((F.pow(F.col(c) - F.lag(c).over(b), F.lit(2)) for c in ("u", "v", "w")), F.lit(0.0))
-    moved = vis_of(spark, sf_dir).filter(~F.col("flag")).withColumn("moved", F.col("freq") / C * F.coalesce(F.sqrt(step), F.lit(0.0)))
+    moved = visibility.tracks(vis_of(spark, sf_dir))
     out = moved.groupBy("ant1", "ant2", "chan").agg(F.count("*").alias("samples"), F.sum("moved").alias("path"))
     return out.withColumn("path", F.round("path", 4))
 

@@ -84,11 +84,13 @@ class UnitEncoder:
         self.letters = byte_letters()
         self.ranked = self._ranked(spec["model"])
         self.remembered = remembered
+        # pre-tokens outlast units, and those in use outlast the others
+        self.parts: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
         self.used = self.held_bytes = 0
@@ -114,8 +116,12 @@ class UnitEncoder:
         for part in self.split(unit.lower() if self.lower else unit):
             ids = self.parts.get(part)
             if ids is None:
-                letters = part.encode().decode("latin-1").translate(self.letters)
-                ids = self.parts[part] = [x.id for x in self.tokenizer.model.tokenize(letters)]
+                ids = self.older.get(part)
+                if ids is None:
+                    plain = part.isascii() and part.isprintable()
+                    letters = part.replace(" ", "\u0120") if plain else part.encode().decode("latin-1").translate(self.letters)
+                    ids = [x.id for x in self.tokenizer.model.tokenize(letters)]
+                self.parts[part] = ids
             out += ids
         return out
 
@@ -145,8 +151,10 @@ class UnitEncoder:
         begins = cuts(data, offs)
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        if len(self.known) > self.remembered or self.held_bytes > REMEMBERED_BYTES or len(self.parts) > self.remembered:
+        if len(self.known) > self.remembered or self.held_bytes > REMEMBERED_BYTES:
             self._forget()
+        if 2 * len(self.parts) > self.remembered:
+            self.older, self.parts = self.parts, {}
         bounds = np.append(begins, len(data)).astype(np.int32)
         units = pa.StringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pc.dictionary_encode(units)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ._shared import discard, new_folder, stored
 from ._text import _BYTE, _SPACE, U64, binary_of, byte_prefix, mix, prefix_hash, ragged, slices, span_hash, table
+from ._units import REMEMBERED as REMEMBERED_UNITS
 from ._units import UnitEncoder, cuts, tokenizer_path
 from ._worker import held, tidy
 
@@ -38,6 +39,8 @@ CHUNK_BYTES = 512
 ROLLING = 24
 _SECOND_BASE = U64(0xC2B2AE3D27D4EB4F)
 
+#: Units that a worker remembers: it holds no texts beside them, so twice as many as others do.
+UNITS = 2 * REMEMBERED_UNITS
 #: Joins whose answer a worker remembers.
 REMEMBERED = 100_000
 
@@ -125,7 +128,7 @@ class Codec:
     """Encoder and decoder of a file, and the joins met so far: whether their ids are those of their two sides."""
 
     def __init__(self, path: str):
-        self.encoder, self.decoder = UnitEncoder(path), Decoder(path)
+        self.encoder, self.decoder = UnitEncoder(path, UNITS), Decoder(path)
         self.whole = self.encoder.tokenizer
         self.joins: dict[tuple[bytes, bytes], bool] = {}
         self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
